@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, pii, secrets
+from . import htmltext, langid, mixing, pii, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_html": htmltext.query,
         "op5_pii": pii.query,
         "op6_langid": langid.query,
+        "op7_mixing": mixing.query,
         "op8_secrets": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.oracle()}
