@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, htmltext, langid, mixing, pii, secrets
+from . import covertree, htmltext, imatch, langid, mixing, pii, secrets
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_langid": langid.query,
         "op7_mixing": mixing.query,
         "op8_secrets": secrets.query,
+        "op9_imatch": imatch.query,
         "op10_embeddings": covertree.query,
     }
 
