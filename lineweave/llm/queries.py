@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import covertree, htmltext, imatch, langid, mixing, pii, secrets
+from . import covertree, htmltext, imatch, langid, mixing, pii, ppm, secrets
 
 
 def queries() -> dict:
     return {
         "op2_html": htmltext.query,
+        "op3_ppm": ppm.query,
         "op5_pii": pii.query,
         "op6_langid": langid.query,
         "op7_mixing": mixing.query,
