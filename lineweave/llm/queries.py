@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import covertree, htmltext, imatch, langid, mixing, pii, ppm, secrets
+from . import covertree, htmltext, imatch, langid, mixing, orderminhash, pii, ppm, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_minhash": orderminhash.query,
         "op2_html": htmltext.query,
         "op3_ppm": ppm.query,
         "op5_pii": pii.query,
