@@ -81,7 +81,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         found = NAME.match(tag)
         if not found:
             continue  # a comment or declaration
-        name = found[1].lower()
+        name, inset = found[1].lower(), outs and ins
         if name in RAW:
             if tag[1] != "/" and not tag.endswith("/>"):
                 lower = page.lower() if lower is None else lower
@@ -106,7 +106,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                     outs += c == "out"
                     ins += c == "in"
                     landmarked |= c == "in"
-        out.append(("block" if name in BLOCK else "space" if name == "br" else "tag", name, ""))
+        out.append(("block" if name in BLOCK else "space" if name == "br" else "tag", "inset" if inset or outs and ins else name, ""))
     text(page[at:])
     return [("text", "beside" if f == "page" and landmarked else f, t) if k == "text" else (k, f, t) for k, f, t in out]
 
@@ -178,7 +178,8 @@ def main_text(page: str | None) -> str:
         return ""
     seq, table = tokens(page), weights()
     # words that never reach the text count few times, so that an advert within an article does not part it
-    scores = [(table.get(("text", f), 0.0) * min(len(t.split()), OUT_WORDS if f in DROPPED else len(t)) if k == "text" else table.get(("tag", f), -0.25)) for k, f, t in seq]
+    size = lambda t: len((html.unescape(t) if "&" in t else t).split())
+    scores = [0.0 if f == "inset" else table.get(("text", f), 0.0) * min(size(t), OUT_WORDS if f in DROPPED else len(t)) if k == "text" else table.get(("tag", f), -0.25) for k, f, t in seq]
     a, b = best_region(scores)
     while 0 < a < b and seq[a - 1][0] != "block":
         a -= 1

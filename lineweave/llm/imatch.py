@@ -127,7 +127,7 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(pack, "doc_id long, key long, packed binary")
     splits = F.array(*(F.lit(b).cast("long") for b in begins))
-    own = F.coalesce(F.size(F.filter(splits, lambda s: s >= F.col("doc_id"))) - 1, F.lit(len(begins) - 1))
+    own = F.when(F.col("doc_id").isNull(), len(begins) - 1).otherwise(F.size(F.filter(splits, lambda s: s >= F.col("doc_id"))) - 1)
     before = F.when(F.col("doc_id") == begins[0], len(begins) - 1).otherwise(own - 1)
     places = F.array(F.struct(own.alias("range"), F.lit(0).alias("sentinel")), F.struct(before.alias("range"), F.lit(1).alias("sentinel")))
     copies = F.when(F.array_contains(splits, F.coalesce(F.col("doc_id"), F.lit(-(2**63)))), places).otherwise(F.slice(places, 1, 1))

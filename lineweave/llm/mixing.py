@@ -99,7 +99,7 @@ def apply_mix(documents: DataFrame) -> DataFrame:
     """
     times = mix(documents).groupBy("doc_id").agg(F.max("times").alias("__times")).where("__times > 0")
     taken = documents.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col("d")[c] for c in documents.columns))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"d.`{c}`").alias(c) for c in documents.columns))
 
 
 def oracle() -> str:

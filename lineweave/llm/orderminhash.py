@@ -2,7 +2,7 @@
 
 A text's k-mers are its SHINGLE-word shingles (lower-cased words), each labelled with its occurrence number. A sketch
 takes the TAKEN least labelled k-mers under a random order and hashes them in the order in which they stand in the
-text. Two sketches make a band; documents that agree in a band are candidates. A candidate pair is linked if the word
+text. Documents that agree in a band are candidates. A candidate pair is linked if the word
 edit similarity, 1 - distance / longer length, is at least SIMILARITY; the distance comes from a furthest-reaching
 alignment that never leaves the band of diagonals that this similarity allows.
 
@@ -29,8 +29,9 @@ from .common import cut, read, small_batches, utf8
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: k-mers in a sketch, sketches, sketches in a band, rounds of stars.
-TAKEN, SKETCHES, ROWS, ROUNDS = 2, 48, 2, 3
+#: k-mers in a sketch, sketches, sketches in a band, rounds of stars. Texts that share a part J of their shingles agree
+#: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
+TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 3
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -90,7 +91,7 @@ def sketches(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     key = np.zeros(len(live), np.uint64)
     top = np.uint64(2**64 - 1)
     for s in range(SKETCHES):
-        value = mixed(label ^ (np.uint64(s + 1) * np.uint64(0xA24BAED4963EE407)))
+        value = mixed(label ^ (np.uint64((s + 1) * 0xA24BAED4963EE407 % 2**64)))
         picks = []
         for _ in range(TAKEN):
             least = np.minimum.reduceat(value, starts)
