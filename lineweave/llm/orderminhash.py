@@ -7,8 +7,9 @@ edit similarity, 1 - distance / longer length, is at least SIMILARITY; the dista
 alignment that never leaves the band of diagonals that this similarity allows.
 
 Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
-those that are not linked to it form the bucket of the next round, and after ROUNDS rounds what is left of a bucket is
-paired among itself. So a group of near copies costs one alignment a member, not one a pair.
+those that are not linked to it form the bucket of the next round. What is left after ROUNDS rounds (as a rule texts
+that share a common passage and nothing else) goes on, as long again, in buckets of two sketches that agree at once. So
+a group of near copies costs one alignment a member, not one a pair, and so does a passage that many texts hold.
 
 A text without words (null, empty, blank) is in a class of its own; a text of fewer words than a shingle is one
 shingle. Rows with one doc_id share a class; a null doc_id has a null class and is kept. Extra columns are ignored.
@@ -31,7 +32,7 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: k-mers in a sketch, sketches, sketches in a band, rounds of stars. Texts that share a part J of their shingles agree
 #: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
-TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 3
+TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 2
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -229,43 +230,42 @@ def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "pack_a", "pack_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def buckets(members: DataFrame) -> DataFrame:
+    """members (rep, words, bucket) of buckets of two or more, with the bucket's least rep as leader."""
+    many = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return members.join(many, "bucket").select("rep", "words", "bucket", "leader")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, component_id (the least doc_id of its class) and kept."""
     rows = cut(sketched(documents))
     known = rows.where("doc_id is not null and words > 0")
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("words").alias("words")))
-    members = cut(classes.select("rep", "words", F.explode("bands").alias("bucket")))
-    packs = packed(documents)
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    members_of = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    left = cut(members.join(members_of, "bucket"))
+    left = cut(buckets(classes.select("rep", "words", F.explode("bands").alias("bucket"))))
     # one text an id: of rows that share an id, the class that has it as its least one
     wanted = left.select(F.explode(F.array("rep", "leader")).alias("id")).distinct().join(reps, "id", "left_semi")
-    packs = cut(packs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("pack").alias("pack")))
-    tested, links = None, None
-    for round_ in range(ROUNDS + 1):
-        last = round_ == ROUNDS
-        if last:  # what no leader took: among itself
-            other = left.select("bucket", F.col("rep").alias("leader"), F.col("words").alias("leader_words"))
-            met = left.drop("leader").join(other, "bucket").where("leader < rep")
-        else:
-            met = left.where("leader <> rep")
-            met = met.join(members.select(F.col("rep").alias("leader"), F.col("words").alias("leader_words")).distinct(), "leader")
+    packs = cut(packed(documents).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("pack").alias("pack")))
+    sizes = classes.groupBy(F.col("rep").alias("leader")).agg(F.min("words").alias("leader_words"))
+    tested = None
+    for round_ in range(2 * ROUNDS):
+        met = left.where("leader <> rep").join(sizes, "leader")
         fits = F.abs(F.col("words") - F.col("leader_words")) <= F.floor((1 - SIMILARITY) * F.greatest("words", "leader_words") + 1e-9)
         pairs = met.where(fits).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = cut(verified(pairs, packs))
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.where("ok").select("a", "b")
-        if last:
-            break
-        taken = links.select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        rest = left.where("leader <> rep").join(taken, ["leader", "rep"], "left_anti").select("bucket", "rep", "words")
-        again = rest.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        left = cut(rest.join(again, "bucket"))
+        taken = tested.where("ok").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
+        rest = left.where("leader <> rep").join(taken, ["leader", "rep"], "left_anti").select("rep", "words", "bucket")
+        if round_ == ROUNDS - 1:  # from here on two sketches must agree
+            two = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES // ROWS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
+            again = rest.select("rep").distinct()
+            rest = classes.join(again, "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket"))
+        left = cut(buckets(rest))
         if left.isEmpty():
             break
+    links = tested.where("ok").select("a", "b")
     parts = components(links)
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     # rows that share an id share a class, whatever their texts
