@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import flow_queries
 from .operators import graph, history, patterns, render, slices
 from .sources import diffs
 from .sources import tables as t
@@ -182,7 +183,7 @@ def walk_sql(select: str, start: str, hops: int, back: bool = False) -> str:
     return with_relations(f"--+w AS (SELECT DISTINCT {a} AS origin, {a} AS node, 0::bigint AS hop FROM call_edges WHERE {start} UNION SELECT origin, {b}, hop + 1 FROM w JOIN call_edges ON node = {a} WHERE hop < {hops}), m AS (SELECT origin, node, min(hop) AS hop FROM w GROUP BY ALL) {select}", "call_edges", recursive=True)
 
 
-def oracle_sql() -> dict[str, str]:
+def line_sql() -> dict[str, str]:
     r = with_relations
     inner = INNER.format
     return {
@@ -219,7 +220,11 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
+def oracle_sql() -> dict[str, str]:
+    return line_sql() | flow_queries.oracle_sql()
+
+
 def queries() -> dict:
     from . import queries as here
 
-    return {name: getattr(here, name) for name in [*oracle_sql(), "spiral_slice"]}
+    return {name: getattr(here, name) for name in [*line_sql(), "spiral_slice"]} | flow_queries.queries()

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lineweave.functions import paths
-from lineweave.operators import graph, patterns, render, slices
+from lineweave.operators import flow, graph, patterns, render, rules, slices
 from lineweave.sources import diffs
 from lineweave.streaming import history as stream
 
@@ -80,3 +80,30 @@ def test_streamed_churn_is_the_batch_churn(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("churned").collect())) == sorted(map(tuple, stream.churn_windows(rows).collect()))
+
+
+def test_falsified(spark):
+    cases = {("x==5", "if x == 5"): False, ("x == 5", "if x!=5"): True, ("x!=null", "x == null"): True, ("x > 3", "if x > 0"): False, ("x>-1", "x>0"): True, ("x>=1", "x > 0"): None, ("x", "x == 1"): None, ("x > y", "x > 0"): None}
+    for (known, text), want in cases.items():
+        assert spark.createDataFrame([(text,)], "t string").select(flow.falsified(F.col("t"), known)).first()[0] is want
+
+
+def test_rules(spark):
+    cases = {
+        "k = h.hexdigest()[:31]": ["HASH_TRUNCATED_BELOW_128_BITS"], "k = h.hexdigest()[:32]": [], "self.user_id = hashlib.md5(x)": ["WEAK_HASH_FOR_IDENTITY"], "cache_put(hashlib.sha1(x))": ["WEAK_HASH_FOR_IDENTITY"],
+        "os.system(f'rm {x}')": ["SHELL_TRUE_WITH_INTERPOLATION"], "subprocess.run('%s' % x)": [], "self.api_key: str = 'abc'": ["HARDCODED_SECRET"], "token = os.environ['T']": [], "token = '${T}'": [], "secret = 'TODO'": [], "token == 'abc'": [], "x = 1  # verify=False": [],
+    }
+    lines = spark.createDataFrame([("f", i, c) for i, c in enumerate(cases)], "file string, line long, text string")
+    none = spark.createDataFrame([], "file string, line long")
+    functions = spark.createDataFrame([], "file string, name string, start_line long, end_line long")
+    got = rules.primitives(lines, none, functions).collect()
+    assert sorted((r["line"], r["rule"]) for r in got) == [(i, n) for i, v in enumerate(cases.values()) for n in v]
+    assert {r["severity"] for r in got} == {"suggestion"}
+
+
+def test_cleansed_and_backward_flows_are_no_taint(spark):
+    edges = spark.createDataFrame([("f", 2, 4), ("f", 4, 6), ("f", 6, 3), ("f", 12, 14)], "file string, def_line long, use_line long")
+    functions = spark.createDataFrame([("f", "a", 1, 10), ("f", "b", 11, 20)], "file string, name string, start_line long, end_line long")
+    lines = lambda *ns: spark.createDataFrame([("f", n) for n in ns], "file string, line long")
+    got = flow.taint(lines(2, 12), lines(3, 6, 14), edges, functions, lines(13)).collect()
+    assert [tuple(r) for r in got] == [("f", 6, 2)]
