@@ -8,8 +8,10 @@ alignment that never leaves the band of diagonals that this similarity allows.
 
 Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
 those that are not linked to it form the bucket of the next round. What is left after ROUNDS rounds (as a rule texts
-that share a common passage and nothing else) goes on, as long again, in buckets of two sketches that agree at once. So
-a group of near copies costs one alignment a member, not one a pair, and so does a passage that many texts hold.
+that share a common passage and nothing else) goes on in buckets of two sketches that agree at once, with twice as many
+leaders in each round, until every bucket is empty. So a group of near copies costs one alignment a member, not one a
+pair. Members that agree in two sketches and are linked to no leader are aligned with all members of their bucket that
+have a fitting number of words: that part grows with the square of such a group, and none of it is dropped.
 
 A text without words (null, empty, blank) is in a class of its own; a text of fewer words than a shingle is one
 shingle. Rows with one doc_id share a class; a null doc_id has a null class and is kept. Extra columns are ignored.
@@ -23,7 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read, small_batches, utf8
@@ -236,6 +238,25 @@ def buckets(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket").select("rep", "words", "bucket", "leader")
 
 
+def leaders(members: DataFrame, most: int) -> DataFrame:
+    """(bucket, leader): up to most members of each bucket of two or more, the least of each slot of a hash."""
+    slots = members.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("slot")).agg(F.min("rep").alias("leader"), F.count("*").alias("n"))
+    many = slots.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
+    return slots.select("bucket", "leader").join(many, "bucket", "left_semi")
+
+
+def fits(words: str, other: str) -> Column:
+    """Whether texts of so many words can be similar."""
+    return F.abs(F.col(words) - F.col(other)) <= F.floor((1 - SIMILARITY) * F.greatest(words, other) + 1e-9)
+
+
+def more(tested: DataFrame | None, pairs: DataFrame, packs: DataFrame) -> DataFrame:
+    """tested and the verified pairs that it lacks."""
+    if tested is None:
+        return cut(verified(pairs, packs))
+    return tested.unionByName(cut(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), packs)))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, component_id (the least doc_id of its class) and kept."""
     rows = cut(sketched(documents))
@@ -248,23 +269,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     packs = cut(packed(documents).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("pack").alias("pack")))
     sizes = classes.groupBy(F.col("rep").alias("leader")).agg(F.min("words").alias("leader_words"))
     tested = None
-    for round_ in range(2 * ROUNDS):
+    for round_ in range(ROUNDS):
         met = left.where("leader <> rep").join(sizes, "leader")
-        fits = F.abs(F.col("words") - F.col("leader_words")) <= F.floor((1 - SIMILARITY) * F.greatest("words", "leader_words") + 1e-9)
-        pairs = met.where(fits).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut(verified(pairs, packs))
-        tested = found if tested is None else tested.unionByName(found)
+        pairs = met.where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+        tested = more(tested, pairs, packs)
         taken = tested.where("ok").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
         rest = left.where("leader <> rep").join(taken, ["leader", "rep"], "left_anti").select("rep", "words", "bucket")
-        if round_ == ROUNDS - 1:  # from here on two sketches must agree
-            two = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES // ROWS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
-            again = rest.select("rep").distinct()
-            rest = classes.join(again, "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket"))
-        left = cut(buckets(rest))
+        left = cut(buckets(rest) if round_ < ROUNDS - 1 else rest)
         if left.isEmpty():
             break
+    # from here on two sketches must agree, and a bucket has ever more leaders, until none has two members
+    two = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES // ROWS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
+    left = cut(classes.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket")))
+    most = 1
+    while True:
+        first = cut(leaders(left, most).join(sizes, "leader"))
+        if first.isEmpty():
+            break
+        met = left.join(first, (left["bucket"] == first["bucket"]) & (F.col("rep") != F.col("leader")) & fits("words", "leader_words"))
+        pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        tested = more(tested, pairs, packs)
+        # leaders have met all of their bucket; members that are linked to one of its leaders need no other
+        good = tested.where("ok").select("a", "b")
+        good = good.union(good.select("b", "a")).toDF("leader", "rep")
+        done = first.select("bucket", F.col("leader").alias("rep")).union(first.select("bucket", "leader").join(good, "leader").select("bucket", "rep"))
+        left = left.join(first.select("bucket").distinct(), "bucket", "left_semi")  # single members have none to meet
+        left, most = cut(left.join(done, ["bucket", "rep"], "left_anti")), 2 * most
     links = tested.where("ok").select("a", "b")
     parts = components(links)
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))

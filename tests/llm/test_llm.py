@@ -219,6 +219,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert orderminhash.deduplicate(table(spark, texts)).count() == len(set(root))
 
 
+def test_near_duplicates_in_a_bucket_that_outlasts_the_stars(spark):
+    """24 texts share most of their words, and the near copies among them are found however late their leader comes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage, rows = [word() for _ in range(70)], []
+    for k in range(12):
+        text = passage + [word() for _ in range(40)]
+        rows += [(k, " ".join(text)), (100 + k, " ".join([*text[:-2], word(), word()]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in orderminhash.near_duplicates(df).collect()} == {(i, i % 100) for i, _ in rows}
+
+
 def test_cover_tree_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = []
