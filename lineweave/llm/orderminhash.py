@@ -239,10 +239,10 @@ def buckets(members: DataFrame) -> DataFrame:
 
 
 def leaders(members: DataFrame, most: int) -> DataFrame:
-    """(bucket, leader): up to most members of each bucket of two or more, the least of each slot of a hash."""
-    slots = members.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("slot")).agg(F.min("rep").alias("leader"), F.count("*").alias("n"))
+    """(bucket, leader, leader_words): up to most members of each bucket of two or more, the least of each slot of a hash."""
+    slots = members.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("slot")).agg(F.min(F.struct("rep", "words")).alias("least"), F.count("*").alias("n"))
     many = slots.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
-    return slots.select("bucket", "leader").join(many, "bucket", "left_semi")
+    return slots.select("bucket", F.col("least.rep").alias("leader"), F.col("least.words").alias("leader_words")).join(many, "bucket", "left_semi")
 
 
 def fits(words: str, other: str) -> Column:
@@ -280,10 +280,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             break
     # from here on two sketches must agree, and a bucket has ever more leaders, until none has two members
     two = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES // ROWS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
-    left = cut(classes.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket")))
+    left = classes.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket"))
+    left = cut(left.join(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket", "left_semi"))
+    packs = cut(packs.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))  # the rounds shuffle these alone
     most = 1
     while True:
-        first = cut(leaders(left, most).join(sizes, "leader"))
+        first = cut(leaders(left, most))
         if first.isEmpty():
             break
         met = left.join(first, (left["bucket"] == first["bucket"]) & (F.col("rep") != F.col("leader")) & fits("words", "leader_words"))
