@@ -8,8 +8,8 @@ alignment that never leaves the band of diagonals that this similarity allows.
 
 Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
 those that are not linked to it form the bucket of the next round. What is left after ROUNDS rounds (as a rule texts
-that share a common passage and nothing else) goes on in buckets of two sketches that agree at once, with twice as many
-leaders in each round, until every bucket is empty. So a group of near copies costs one alignment a member, not one a
+that share a common passage and nothing else) goes on in buckets of two sketches that agree at once, with MORE times as
+many leaders in each round, until every bucket is empty. So a group of near copies costs one alignment a member, not one a
 pair. Members that agree in two sketches and are linked to no leader are aligned with all members of their bucket that
 have a fitting number of words: that part grows with the square of such a group, and none of it is dropped.
 
@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: k-mers in a sketch, sketches, sketches in a band, rounds of stars. Texts that share a part J of their shingles agree
 #: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
 TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 2
+#: Leaders of a bucket in the first round after the stars, and their growth from round to round.
+MORE = 8
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -283,7 +285,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     left = classes.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket"))
     left = cut(left.join(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket", "left_semi"))
     packs = cut(packs.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))  # the rounds shuffle these alone
-    most = 1
+    most = MORE
     while True:
         first = cut(leaders(left, most))
         if first.isEmpty():
@@ -296,7 +298,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         good = good.union(good.select("b", "a")).toDF("leader", "rep")
         done = first.select("bucket", F.col("leader").alias("rep")).union(first.select("bucket", "leader").join(good, "leader").select("bucket", "rep"))
         left = left.join(first.select("bucket").distinct(), "bucket", "left_semi")  # single members have none to meet
-        left, most = cut(left.join(done, ["bucket", "rep"], "left_anti")), 2 * most
+        left, most = cut(left.join(done, ["bucket", "rep"], "left_anti")), MORE * most
     links = tested.where("ok").select("a", "b")
     parts = components(links)
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
