@@ -7,11 +7,11 @@ edit similarity, 1 - distance / longer length, is at least SIMILARITY; the dista
 alignment that never leaves the band of diagonals that this similarity allows.
 
 Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
-those that are not linked to it form the bucket of the next round. What is left after ROUNDS rounds (as a rule texts
-that share a common passage and nothing else) goes on in buckets of two sketches that agree at once, with MORE times as
-many leaders in each round, until every bucket is empty. So a group of near copies costs one alignment a member, not one a
-pair. Members that agree in two sketches and are linked to no leader are aligned with all members of their bucket that
-have a fitting number of words: that part grows with the square of such a group, and none of it is dropped.
+those that are not linked to it form the bucket of the next round. After ROUNDS rounds what is left in a bucket is compared
+pair by pair, in blocks of BLOCK members, so that a large bucket is dealt over many tasks. Pairs are skipped only where
+that loses nothing: texts that are linked already, be it by way of others, and texts whose numbers of words, in all or in
+BINS classes of words, show that too many words must be edited. So a group of near copies costs about one alignment a
+member; the comparison of the numbers alone grows with the square of a bucket, and none of it is dropped.
 
 A text without words (null, empty, blank) is in a class of its own; a text of fewer words than a shingle is one
 shingle. Rows with one doc_id share a class; a null doc_id has a null class and is kept. Extra columns are ignored.
@@ -35,8 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: k-mers in a sketch, sketches, sketches in a band, rounds of stars. Texts that share a part J of their shingles agree
 #: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
 TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 2
-#: Leaders of a bucket in the first round after the stars, and their growth from round to round.
-MORE = 8
+#: Members of a block of a bucket, classes of words that are counted, pairs that are compared at once.
+BLOCK, BINS, AT_ONCE = 1024, 256, 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -240,13 +240,6 @@ def buckets(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket").select("rep", "words", "bucket", "leader")
 
 
-def leaders(members: DataFrame, most: int) -> DataFrame:
-    """(bucket, leader, leader_words): up to most members of each bucket of two or more, the least of each slot of a hash."""
-    slots = members.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(most)).alias("slot")).agg(F.min(F.struct("rep", "words")).alias("least"), F.count("*").alias("n"))
-    many = slots.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket")
-    return slots.select("bucket", F.col("least.rep").alias("leader"), F.col("least.words").alias("leader_words")).join(many, "bucket", "left_semi")
-
-
 def fits(words: str, other: str) -> Column:
     """Whether texts of so many words can be similar."""
     return F.abs(F.col(words) - F.col(other)) <= F.floor((1 - SIMILARITY) * F.greatest(words, other) + 1e-9)
@@ -259,6 +252,78 @@ def more(tested: DataFrame | None, pairs: DataFrame, packs: DataFrame) -> DataFr
     return tested.unionByName(cut(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), packs)))
 
 
+def bags(packs: DataFrame) -> DataFrame:
+    """(rep, bag): how many words of each of BINS classes a text has. A text with too many of one has the most of all."""
+    most = np.iinfo(np.uint16).max
+
+    def run(batches):
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [press.decompress(x) for x in batch.column(1).to_pylist()]
+            words, bounds = word_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+            row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+            bag = np.bincount(row * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
+            bag[(bag > most).any(1)] = most
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bag.astype(np.uint16)], pa.binary())], names=["rep", "bag"])
+
+    return packs.mapInArrow(run, "rep long, bag binary")
+
+
+def open_pairs(rows: pa.Table):
+    """(a, b) of the pairs of a group (bucket, low, high) that are not linked and that the numbers of their words allow."""
+    n = rows.num_rows
+    bucket, low, high, block, rep, words, component = (rows.column(k).to_numpy() for k in range(7))
+    bag = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint16).reshape(n, BINS)
+    fresh = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    ends = np.append(np.flatnonzero(fresh) + 1, n)
+    count = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n) - 1
+    done, start = np.concatenate([[0], np.cumsum(count)]), 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + AT_ONCE, side="right")) - 1)
+        i = np.repeat(np.arange(start, stop), count[start:stop])
+        j = i + 1 + np.arange(len(i)) - (done[i] - done[start])
+        most = ((1 - SIMILARITY) * np.maximum(words[i], words[j]) + 1e-9).astype(np.int64)
+        good = (component[i] != component[j]) & (np.abs(words[i] - words[j]) <= most) & ((low[i] == high[i]) | (block[i] != block[j]))
+        i, j, most, start = i[good], j[good], most[good], stop
+        for k in range(0, len(i), 1 << 13):
+            x, y, m = i[k : k + (1 << 13)], j[k : k + (1 << 13)], most[k : k + (1 << 13)]
+            ok = np.maximum(words[x], words[y]) - np.minimum(bag[x], bag[y]).sum(1, dtype=np.int64) <= m
+            x, y = rep[x[ok]], rep[y[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def unlinked(members: DataFrame, tested: DataFrame, packs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of members (rep, words, bucket) of a bucket that tested does not link, directly or by way of others."""
+    parts = components(tested.where("ok").select("a", "b")).toDF("rep", "component")
+    members = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    many = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y")
+    members = cut(members.join(many.select("bucket", "blocks"), "bucket"))
+    own = bags(packs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    # every block of a bucket meets itself and each other one
+    rows = members.join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "words", "component", "bag")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            keys = [rows.column(k).to_numpy() for k in range(3)]
+            fresh = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            last = int(fresh[-1]) + 1 if len(fresh) else 0
+            if last:
+                yield from open_pairs(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from open_pairs(held)
+
+    keys = ["bucket", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, component_id (the least doc_id of its class) and kept."""
     rows = cut(sketched(documents))
@@ -280,25 +345,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         left = cut(buckets(rest) if round_ < ROUNDS - 1 else rest)
         if left.isEmpty():
             break
-    # from here on two sketches must agree, and a bucket has ever more leaders, until none has two members
-    two = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES // ROWS - 2), F.lit(2)), lambda i: F.xxhash64(i, F.get("bands", i), F.get("bands", i + 1)))
-    left = classes.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "words", F.explode(two).alias("bucket"))
-    left = cut(left.join(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket", "left_semi"))
-    packs = cut(packs.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))  # the rounds shuffle these alone
-    most = MORE
-    while True:
-        first = cut(leaders(left, most))
-        if first.isEmpty():
-            break
-        met = left.join(first, (left["bucket"] == first["bucket"]) & (F.col("rep") != F.col("leader")) & fits("words", "leader_words"))
-        pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        tested = more(tested, pairs, packs)
-        # leaders have met all of their bucket; members that are linked to one of its leaders need no other
-        good = tested.where("ok").select("a", "b")
-        good = good.union(good.select("b", "a")).toDF("leader", "rep")
-        done = first.select("bucket", F.col("leader").alias("rep")).union(first.select("bucket", "leader").join(good, "leader").select("bucket", "rep"))
-        left = left.join(first.select("bucket").distinct(), "bucket", "left_semi")  # single members have none to meet
-        left, most = cut(left.join(done, ["bucket", "rep"], "left_anti")), MORE * most
+    if not left.isEmpty():
+        tested = more(tested, unlinked(left, tested, packs), packs)
     links = tested.where("ok").select("a", "b")
     parts = components(links)
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -231,6 +231,37 @@ def test_near_duplicates_in_a_bucket_that_outlasts_the_stars(spark):
     assert {(r["doc_id"], r["component_id"]) for r in orderminhash.near_duplicates(df).collect()} == {(i, i % 100) for i, _ in rows}
 
 
+def linked(texts):
+    """The least index that each text is linked to, directly or by way of others, all pairs that meet in a sketch compared."""
+    data = [t.encode() for t in texts]
+    words, bounds = orderminhash.word_hashes(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+    bands, root = orderminhash.sketches(words, bounds), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (bands[i] == bands[j]).any() and orderminhash.similar(texts[i].split(), texts[j].split()):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_duplicates_with_scattered_edits_in_template_families(spark):
+    """Pairs with a tenth of their words changed share few sketches, all of them with lesser members of their family."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    texts = []
+    for _ in range(4):
+        passage = [word() for _ in range(60)]
+        texts += [" ".join(passage + [word() for _ in range(60)]) for _ in range(20)]
+        for _ in range(10):
+            text = passage + [word() for _ in range(60)]
+            changed = set(rng.sample(range(120), 12))
+            texts += [" ".join(text), " ".join(word() if i in changed else w for i, w in enumerate(text))]
+    root = linked(texts)
+    got = {r["doc_id"]: r["component_id"] for r in orderminhash.near_duplicates(table(spark, texts)).collect()}
+    assert sum(r != i for i, r in enumerate(root)) >= 34
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_cover_tree_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = []
