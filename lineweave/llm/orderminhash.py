@@ -7,11 +7,12 @@ edit similarity, 1 - distance / longer length, is at least SIMILARITY; the dista
 alignment that never leaves the band of diagonals that this similarity allows.
 
 Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
-those that are not linked to it form the bucket of the next round. After ROUNDS rounds what is left in a bucket is compared
-pair by pair, in blocks of BLOCK members, so that a large bucket is dealt over many tasks. Pairs are skipped only where
-that loses nothing: texts that are linked already, be it by way of others, and texts whose numbers of words, in all or in
-BINS classes of words, show that too many words must be edited. So a group of near copies costs about one alignment a
-member; the comparison of the numbers alone grows with the square of a bucket, and none of it is dropped.
+those that are not linked to it form the bucket of the next round. After ROUNDS rounds all members of a bucket,
+taken by a leader or not, are compared pair by pair, in blocks of BLOCK members, so that a large bucket is dealt over
+many tasks. Pairs are skipped only where that loses nothing: texts that are linked already, be it by way of others, and
+texts whose numbers of words, in all or in BINS classes of words, show that too many words must be edited. So a group of
+near copies costs about one alignment a member; the comparison of the numbers alone grows with the square of a bucket,
+and none of it is dropped.
 
 A text without words (null, empty, blank) is in a class of its own; a text of fewer words than a shingle is one
 shingle. Rows with one doc_id share a class; a null doc_id has a null class and is kept. Extra columns are ignored.
@@ -335,7 +336,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     wanted = left.select(F.explode(F.array("rep", "leader")).alias("id")).distinct().join(reps, "id", "left_semi")
     packs = cut(packed(documents).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("pack").alias("pack")))
     sizes = classes.groupBy(F.col("rep").alias("leader")).agg(F.min("words").alias("leader_words"))
-    tested = None
+    tested, everyone = None, left
     for round_ in range(ROUNDS):
         met = left.where("leader <> rep").join(sizes, "leader")
         pairs = met.where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -345,8 +346,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         left = cut(buckets(rest) if round_ < ROUNDS - 1 else rest)
         if left.isEmpty():
             break
-    if not left.isEmpty():
-        tested = more(tested, unlinked(left, tested, packs), packs)
+    tested = more(tested, unlinked(everyone.select("rep", "words", "bucket"), tested, packs), packs)
     links = tested.where("ok").select("a", "b")
     parts = components(links)
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))

@@ -262,6 +262,21 @@ def test_near_duplicates_with_scattered_edits_in_template_families(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_duplicates_that_lesser_members_take_apart(spark):
+    """Wherever the middle text meets the last one, a lesser text that is linked to the middle one alone stands there too."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    texts = []
+    for _ in range(6):
+        middle = [word() for _ in range(100)]
+        texts += [" ".join(middle[:k] + [word() for _ in range(11)] + middle[k + 11 :]) for k in range(0, 88, 11)]
+        texts += [" ".join(middle), " ".join(middle[:89] + [word() for _ in range(11)])]
+    root = linked(texts)
+    got = {r["doc_id"]: r["component_id"] for r in orderminhash.near_duplicates(table(spark, texts)).collect()}
+    assert root == [i - i % 10 for i in range(len(texts))]
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_cover_tree_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = []
