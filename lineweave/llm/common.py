@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, free  # noqa: F401
+
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: bounds a Python worker's memory on ordinary documents.
@@ -26,17 +27,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and go on from the files.
-
-    The folder is the cluster's; a folder of our own is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineweave-"))
-    return df.checkpoint(eager=True)
-
-
 def fold_remainder(doc_id: int | None, mod: int) -> int:
     """crc32 of doc_id as text, modulo mod; a null doc_id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod

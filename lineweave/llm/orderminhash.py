@@ -3,16 +3,15 @@
 A text's k-mers are its SHINGLE-word shingles (lower-cased words), each labelled with its occurrence number. A sketch
 takes the TAKEN least labelled k-mers under a random order and hashes them in the order in which they stand in the
 text. Documents that agree in a band are candidates. A candidate pair is linked if the word
-edit similarity, 1 - distance / longer length, is at least SIMILARITY; the distance comes from a furthest-reaching
-alignment that never leaves the band of diagonals that this similarity allows.
+edit similarity, 1 - distance / longer length, is at least SIMILARITY; the distance comes from a bit-parallel alignment
+that never leaves the band of diagonals that this similarity allows.
 
-Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member;
-those that are not linked to it form the bucket of the next round. After ROUNDS rounds all members of a bucket,
-taken by a leader or not, are compared pair by pair, in blocks of BLOCK members, so that a large bucket is dealt over
-many tasks. Pairs are skipped only where that loses nothing: texts that are linked already, be it by way of others, and
-texts whose numbers of words, in all or in BINS classes of words, show that too many words must be edited. So a group of
-near copies costs about one alignment a member; the comparison of the numbers alone grows with the square of a bucket,
-and none of it is dropped.
+Equal texts are one class before anything else. In a bucket every member is aligned with the bucket's least member.
+Then all members of a bucket, linked to it or not, are compared pair by pair, in blocks of BLOCK members, so that a large
+bucket is dealt over many tasks. Pairs are skipped only where that loses nothing: texts that are linked already, be it by
+way of others, and texts whose numbers of words, in all or in BINS classes of words, show that too many words must be
+edited. So a group of near copies costs about one alignment a member; the comparison of the numbers alone grows with the
+square of a bucket's members of like length, and none of it is dropped.
 
 A text without words (null, empty, blank) is in a class of its own; a text of fewer words than a shingle is one
 shingle. Rows with one doc_id share a class; a null doc_id has a null class and is kept. Extra columns are ignored.
@@ -21,7 +20,7 @@ shingle. Rows with one doc_id share a class; a null doc_id has a null class and
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches, utf8
+from .common import cut, free, read, small_batches, utf8
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: k-mers in a sketch, sketches, sketches in a band, rounds of stars. Texts that share a part J of their shingles agree
+#: k-mers in a sketch, sketches, sketches in a band. Texts that share a part J of their shingles agree
 #: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
-TAKEN, SKETCHES, ROWS, ROUNDS = 3, 40, 1, 2
-#: Members of a block of a bucket, classes of words that are counted, pairs that are compared at once.
-BLOCK, BINS, AT_ONCE = 1024, 256, 1 << 20
+TAKEN, SKETCHES, ROWS = 3, 40, 1
+#: Members of a block of a bucket, classes of words that are counted, the count that stands for all greater ones, pairs
+#: that are compared at once, tasks that a leader's pairs are dealt over, bytes of texts that are sent at once.
+BLOCK, BINS, MANY, AT_ONCE, SALTS, SENT = 4096, 128, 255, 1 << 20, 256, 4 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -118,49 +118,47 @@ def sketches(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 # ---- alignment -------------------------------------------------------------------------------------------------------
 
 
-def slide(x: np.ndarray, y: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Each i moved along its diagonal k (j = i + k) over equal words."""
-    i, todo, step = i.copy(), np.arange(len(i)), np.arange(16)
-    while len(todo):
-        a = i[todo][:, None] + step
-        b = a + k[todo][:, None]
-        same = (a < len(x)) & (b < len(y)) & (b >= 0)
-        same &= x[np.minimum(a, len(x) - 1)] == y[np.clip(b, 0, len(y) - 1)]
-        run = np.where(same.all(1), len(step), same.argmin(1))
-        i[todo] += run
-        todo = todo[run == len(step)]
-    return i
-
-
-def distance(x: np.ndarray, y: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or most + 1 if it is larger; only diagonals within most are visited."""
-    n = min(len(x), len(y))
-    head = int((x[:n] == y[:n]).argmin()) if n and not (x[:n] == y[:n]).all() else n
-    x, y = x[head:], y[head:]
-    n = min(len(x), len(y))
-    tail = x[len(x) - n :][::-1] == y[len(y) - n :][::-1]
-    tail = int(tail.argmin()) if n and not tail.all() else n
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    goal = len(y) - len(x)
-    if abs(goal) > most:
-        return most + 1
-    if not len(x) or not len(y):
-        return max(len(x), len(y))
-    none = -(1 << 40)
-    far = np.full(2 * most + 3, none)  # furthest i on diagonal k, at k + most + 1
-    far[most + 1] = slide(x, y, np.zeros(1, int), np.zeros(1, int))[0]
-    for e in range(most + 1):
-        if e:
-            k = np.arange(-e, e + 1)
-            c = k + most + 1
-            reach = np.maximum(np.maximum(far[c] + 1, far[c - 1]), far[c + 1] + 1)
-            reach = np.minimum(np.minimum(reach, len(x)), len(y) - k)
-            on = (reach >= 0) & (reach + k >= 0)
-            far[c] = np.where(on, reach, none)
-            far[c[on]] = slide(x, y, reach[on], k[on])
-        if abs(goal) <= e and far[goal + most + 1] >= len(x):
-            return e
-    return most + 1
+def distance(x: Sequence[int], y: Sequence[int], most: int) -> int:
+    """Edit distance of two word sequences, or most + 1 if it is larger.
+
+    Only the band of diagonals within most is visited, column by column: the vertical differences of a column's part of
+    the band are the bits of two integers, which one addition and some logic carry over to the next column.
+    """
+    head, short = 0, min(len(x), len(y))
+    while head < short and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and x[len(x) - 1 - tail] == y[len(y) - 1 - tail]:
+        tail += 1
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) - len(y) > most or not len(y):
+        return min(len(x), most + 1)
+    band = min(most, len(x))
+    places: dict[int, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << (2 * band + 1)) - 1
+    up, down = ((1 << (band + 1)) - 1) << band, 0  # where the column rises and falls by one
+    far, straight = band, len(x) - band
+    below, foot = 1 << (2 * band), 1 << (2 * band - 1) if band else 0
+    give_up = band + len(y) - straight
+    for j, w in enumerate(y):
+        same = places.get(w, 0)
+        same = (same >> (j - band) if j > band else same << (band - j)) & full
+        flat = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | (full & ~(flat | up)), flat & up
+        if j < straight:  # along the band's last diagonal, then along the last row
+            far += not flat & below
+        else:
+            far += bool(rise & foot) - bool(fall & foot)
+            foot >>= 1
+        if far > give_up:
+            return most + 1
+        flat >>= 1
+        up, down = fall | (full & ~(flat | rise)), flat & rise
+    return min(far, most + 1)
 
 
 def allowed(n: int, m: int) -> int:
@@ -170,23 +168,23 @@ def allowed(n: int, m: int) -> int:
 
 def similar(a: list[str], b: list[str]) -> bool:
     """Whether the edit similarity of two word lists is at least SIMILARITY."""
-    most = allowed(len(a), len(b))
-    if abs(len(a) - len(b)) > most:
-        return False
-    # words that the two do not share in number must be edited
-    if max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > most:
-        return False
-    names: dict[str, int] = {}
-    x, y = (np.array([names.setdefault(w, len(names)) for w in t], dtype=np.int64) for t in (a, b))
-    return distance(x, y, most) <= most
-
+    return Leader(" ".join(a).encode()).similar(" ".join(b).encode())
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
 
 
+def bags(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """[row, class]: how many words of each of BINS classes a row has; MANY everywhere in a row that has as many of one."""
+    n = len(bounds) - 1
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    bag = np.bincount(row * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
+    bag[(bag >= MANY).any(1)] = MANY
+    return bag.astype(np.uint8)
+
+
 def sketched(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, words, bands) of every row; key is the text's digest."""
+    """(doc_id, key, words, bands, bag) of every row; key is the text's digest."""
     small_batches(documents.sparkSession)
 
     def run(batches):
@@ -196,14 +194,15 @@ def sketched(documents: DataFrame) -> DataFrame:
             bands, raw = sketches(words, bounds), data.tobytes()
             keys = [hashlib.md5(raw[offsets[i] : offsets[i + 1]]).digest() for i in range(batch.num_rows)]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(bounds), pa.int64()), flat], names=["doc_id", "key", "words", "bands"])
+            bag = [x.tobytes() for x in bags(words, bounds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(np.diff(bounds), pa.int64()), flat, pa.array(bag, pa.binary())], names=["doc_id", "key", "words", "bands", "bag"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, key binary, words long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, key binary, words long, bands array<long>, bag binary")
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """(id, pack): the compressed texts by doc_id, one row an id, dealt by id once for all rounds."""
+    """(id, pack): the compressed texts by doc_id."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -216,29 +215,83 @@ def packed(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, pack binary")
 
 
-def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
-    """(a, b, ok) for the pairs (a, b)."""
+class Leader:
+    """One text that many others are compared with."""
 
-    def run(batches):
-        press = zstandard.ZstdDecompressor()
-        last: tuple[bytes, list] = (b"", [])
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last[0]:
-                    last = (x, press.decompress(x).lower().split())
-                ok.append(similar(last[1], press.decompress(y).lower().split()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+    def __init__(self, text: bytes):
+        self.names: dict[bytes, int] = {}
+        self.words = [self.names.setdefault(w, len(self.names)) for w in text.lower().split()]
+        self.count = np.bincount(self.words, minlength=len(self.names)) if self.words else np.zeros(0, np.int64)
 
-    a = packs.select(F.col("id").alias("a"), F.col("pack").alias("pack_a"))
-    b = packs.select(F.col("id").alias("b"), F.col("pack").alias("pack_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "pack_a", "pack_b").mapInArrow(run, "a long, b long, ok boolean")
+    def similar(self, text: bytes) -> bool:
+        """Whether the edit similarity of the two texts' words is at least SIMILARITY."""
+        found = text.lower().split()
+        most, longer = allowed(len(self.words), len(found)), max(len(self.words), len(found))
+        if abs(len(self.words) - len(found)) > most:
+            return False
+        words = [self.names.get(w, -1) for w in found]
+        # words that the two do not share in number must be edited
+        shared = np.bincount(np.array(words, dtype=np.int64) + 1, minlength=len(self.count) + 1)[1:]
+        if longer - np.minimum(self.count, shared).sum() > most:
+            return False
+        return distance(self.words, words, most) <= most
 
 
-def buckets(members: DataFrame) -> DataFrame:
-    """members (rep, words, bucket) of buckets of two or more, with the bucket's least rep as leader."""
-    many = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return members.join(many, "bucket").select("rep", "words", "bucket", "leader")
+def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
+    """(a, b, ok) for the distinct pairs (a, b); an id that has several texts is similar if one of them is. Each text is sent once by its id, then to each leader a that asks for it.
+
+    A leader's pairs are dealt over SALTS tasks, each of which gets the leader's text once.
+    """
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    one = F.lit(1).cast("byte")
+    none = F.lit(None).cast("binary")
+    asked = pairs.select(F.col("b").alias("id"), one.alias("kind"), "a", "salt", none.alias("pack"))
+    led = pairs.select("a", "salt").distinct().select(F.col("a").alias("id"), one.alias("kind"), "a", "salt", none.alias("pack"))
+    texts = packs.select("id", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("int").alias("salt"), "pack")
+    by_id = texts.unionByName(asked).unionByName(led).repartition("id").sortWithinPartitions("id", "kind")
+
+    def send(batches):
+        """(a, salt, id, pack): the texts of ids that somebody asks for."""
+        now, texts = None, []
+        for batch in batches:
+            out, size = [], 0
+            for id_, kind, a, salt, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if id_ != now:
+                    now, texts = id_, []
+                if kind == 0:
+                    texts.append(pack)
+                    continue
+                for text in texts:
+                    out.append((a, salt, id_, text))
+                    size += len(text)
+                    if size > SENT:
+                        yield rows_of(out)
+                        out, size = [], 0
+            yield rows_of(out)
+
+    def rows_of(out):
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "salt", "id", "pack"])
+
+    def run(batches):
+        press, now, leaders = zstandard.ZstdDecompressor(), None, []
+        for batch in batches:
+            left, right, ok = [], [], []
+            for a, salt, id_, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, salt) != now:
+                    now, leaders = (a, salt), []
+                text = press.decompress(pack)
+                if id_ == a:
+                    leaders.append(Leader(text))
+                    continue
+                left.append(a)
+                right.append(id_)
+                ok.append(any(leader.similar(text) for leader in leaders))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    met = by_id.mapInArrow(send, "a long, salt int, id long, pack binary")
+    met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
+    return met.mapInArrow(run, "a long, b long, ok boolean")
 
 
 def fits(words: str, other: str) -> Column:
@@ -246,38 +299,18 @@ def fits(words: str, other: str) -> Column:
     return F.abs(F.col(words) - F.col(other)) <= F.floor((1 - SIMILARITY) * F.greatest(words, other) + 1e-9)
 
 
-def more(tested: DataFrame | None, pairs: DataFrame, packs: DataFrame) -> DataFrame:
-    """tested and the verified pairs that it lacks."""
-    if tested is None:
-        return cut(verified(pairs, packs))
-    return tested.unionByName(cut(verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), packs)))
-
-
-def bags(packs: DataFrame) -> DataFrame:
-    """(rep, bag): how many words of each of BINS classes a text has. A text with too many of one has the most of all."""
-    most = np.iinfo(np.uint16).max
-
-    def run(batches):
-        press = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [press.decompress(x) for x in batch.column(1).to_pylist()]
-            words, bounds = word_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
-            row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            bag = np.bincount(row * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(texts) * BINS).reshape(-1, BINS)
-            bag[(bag > most).any(1)] = most
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in bag.astype(np.uint16)], pa.binary())], names=["rep", "bag"])
-
-    return packs.mapInArrow(run, "rep long, bag binary")
-
-
 def open_pairs(rows: pa.Table):
-    """(a, b) of the pairs of a group (bucket, low, high) that are not linked and that the numbers of their words allow."""
+    """(a, b) of the pairs of a group (bucket, low, high), sorted by words, that are not linked and that the numbers of their words allow."""
     n = rows.num_rows
-    bucket, low, high, block, rep, words, component = (rows.column(k).to_numpy() for k in range(7))
-    bag = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint16).reshape(n, BINS)
+    bucket, low, high, words, block, rep, component = (rows.column(k).to_numpy() for k in range(7))
+    bag = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint8).reshape(n, BINS)
+    full = bag[:, 0] == MANY
     fresh = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    ends = np.append(np.flatnonzero(fresh) + 1, n)
-    count = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n) - 1
+    group = np.concatenate([[0], np.cumsum(fresh)])
+    # a row meets the rows after it in its group, up to the most words that can still be similar
+    span = int(words.max()) + 2
+    ends = np.searchsorted(group * span + words, group * span + np.minimum((words + 1) / SIMILARITY, span - 1).astype(np.int64), side="right")
+    count = np.maximum(ends - np.arange(n) - 1, 0)
     done, start = np.concatenate([[0], np.cumsum(count)]), 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(done, done[start] + AT_ONCE, side="right")) - 1)
@@ -288,23 +321,22 @@ def open_pairs(rows: pa.Table):
         i, j, most, start = i[good], j[good], most[good], stop
         for k in range(0, len(i), 1 << 13):
             x, y, m = i[k : k + (1 << 13)], j[k : k + (1 << 13)], most[k : k + (1 << 13)]
-            ok = np.maximum(words[x], words[y]) - np.minimum(bag[x], bag[y]).sum(1, dtype=np.int64) <= m
+            ok = full[x] | full[y] | (np.maximum(words[x], words[y]) - np.minimum(bag[x], bag[y]).sum(1, dtype=np.int64) <= m)
             x, y = rep[x[ok]], rep[y[ok]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def unlinked(members: DataFrame, tested: DataFrame, packs: DataFrame) -> DataFrame:
-    """(a, b): the pairs of members (rep, words, bucket) of a bucket that tested does not link, directly or by way of others."""
-    parts = components(tested.where("ok").select("a", "b")).toDF("rep", "component")
-    members = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def unlinked(met: DataFrame, parts: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): the pairs of members (rep, words, bucket) of a bucket whose components differ and whose words allow a link.
+
+    parts: (node, component); own: (rep, bag). Every block of a bucket meets itself and each other one.
+    """
+    members = met.select("rep", "words", "bucket").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     many = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y")
-    members = cut(members.join(many.select("bucket", "blocks"), "bucket"))
-    own = bags(packs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-    # every block of a bucket meets itself and each other one
-    rows = members.join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = members.join(many.select("bucket", "blocks"), "bucket").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "words", "component", "bag")
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "words", "block", "rep", "component", "bag")
 
     def run(batches):
         held = None
@@ -322,33 +354,27 @@ def unlinked(members: DataFrame, tested: DataFrame, packs: DataFrame) -> DataFra
             yield from open_pairs(held)
 
     keys = ["bucket", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "words").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, component_id (the least doc_id of its class) and kept."""
     rows = cut(sketched(documents))
     known = rows.where("doc_id is not null and words > 0")
-    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("words").alias("words")))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    left = cut(buckets(classes.select("rep", "words", F.explode("bands").alias("bucket"))))
-    # one text an id: of rows that share an id, the class that has it as its least one
-    wanted = left.select(F.explode(F.array("rep", "leader")).alias("id")).distinct().join(reps, "id", "left_semi")
-    packs = cut(packed(documents).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("pack").alias("pack")))
-    sizes = classes.groupBy(F.col("rep").alias("leader")).agg(F.min("words").alias("leader_words"))
-    tested, everyone = None, left
-    for round_ in range(ROUNDS):
-        met = left.where("leader <> rep").join(sizes, "leader")
-        pairs = met.where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        tested = more(tested, pairs, packs)
-        taken = tested.where("ok").select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        rest = left.where("leader <> rep").join(taken, ["leader", "rep"], "left_anti").select("rep", "words", "bucket")
-        left = cut(buckets(rest) if round_ < ROUNDS - 1 else rest)
-        if left.isEmpty():
-            break
-    tested = more(tested, unlinked(everyone.select("rep", "words", "bucket"), tested, packs), packs)
-    links = tested.where("ok").select("a", "b")
-    parts = components(links)
+    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("words").alias("words"), F.min("bag").alias("bag")))
+    members = classes.select("rep", "words", F.explode("bands").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min_by("words", "rep").alias("leader_words"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = cut(members.join(buckets, "bucket"))
+    wanted = met.select(F.col("rep").alias("id")).distinct()
+    packs = cut(packed(documents).join(wanted, "id", "left_semi").distinct())
+    small_batches(documents.sparkSession)
+    pairs = met.where("leader <> rep").where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    first = cut(verified(pairs, packs))
+    parts = cut(components(first.where("ok").select("a", "b")))
+    found = unlinked(met, parts, classes.select("rep", "bag"))
+    second = cut(verified(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), packs))
+    free(met, packs, first)
+    parts = components(second.where("ok").select("a", "b").union(parts.where("node <> component")))
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     # rows that share an id share a class, whatever their texts
     found = rows.select("doc_id", "key", "words").join(whole, "key", "left")
