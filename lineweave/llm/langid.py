@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_remainder, read, remainder_column, segment_sums, small_batches, utf8
 
-#: n-gram bins (a power of two), bytes in a unit, EM rounds, the largest language set, smoothing counts.
-BINS, UNIT, ROUNDS, MOST, SMOOTH = 1 << 16, 24, 12, 3, 0.1
+#: n-gram bins (a power of two), bytes in a unit, EM rounds, smoothing counts.
+BINS, UNIT, ROUNDS, SMOOTH = 1 << 16, 24, 12, 0.1
 #: Cost of one more language, in units of half the log of the number of text units.
 PENALTY = 4.0
 
@@ -30,10 +30,18 @@ FOLD[128:] = np.arange(128, 256)
 LETTER = FOLD != 32
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The bin of the four-byte gram that ends at each byte, over the whole batch end to end."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bin of the four-byte gram that ends at each byte; separators stand before each row, so none reaches into another."""
     c = np.concatenate([np.full(3, 32, dtype=np.uint32), FOLD[data]])
-    h = c[3:] + c[2:-1] * np.uint32(0x9E3779B1) + c[1:-2] * np.uint32(0x85EBCA6B) + c[:-3] * np.uint32(0xC2B2AE35)
+    h = c[3:].copy()
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    for k, factor in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35)):
+        before = c[3 - k : len(c) - k] * np.uint32(factor)
+        for j in range(k):  # the first k bytes of a row have a separator there
+            at = starts + j
+            before[at[at < len(before)]] = np.uint32(32 * factor % 2**32)
+        # a row shorter than k bytes has been overwritten into the next one, whose own start is set alike
+        h += before
     h ^= h >> np.uint32(15)
     return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
 
@@ -46,7 +54,7 @@ def counted(documents: DataFrame, text: str = "text", lang: str = "lang", doc_id
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            bins, langs = grams(data), np.array(batch.column(1).to_pylist(), dtype=object)
+            bins, langs = grams(data, offsets), np.array(batch.column(1).to_pylist(), dtype=object)
             row_lang = {x: k for k, x in enumerate(dict.fromkeys(langs))}
             of_byte = np.repeat(np.array([row_lang[x] for x in langs], dtype=np.int64), np.diff(offsets))
             dense = np.bincount(of_byte * BINS + bins, minlength=len(row_lang) * BINS).reshape(-1, BINS) if len(bins) else np.zeros((len(row_lang), BINS), np.int64)
@@ -86,19 +94,20 @@ def mixture(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, of_unit: np
     return share, segment_sums(total, starts, ends)
 
 
-def identify(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[str]]:
-    """lang_pred, score and the language set (comma-joined) of each text of an Arrow column."""
+def identify(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """lang_pred, score, the language set (comma-joined) of each text of an Arrow column, and whether the set explains the
+    text better than grams drawn evenly from all bins do."""
     data, offsets = utf8(column)
     n = len(column)
-    pred, score, chosen = ["und"] * n, np.zeros(n), [""] * n
+    pred, score, chosen, likely = ["und"] * n, np.zeros(n), [""] * n, np.zeros(n, bool)
     letters = segment_sums(LETTER[data].astype(np.int64), offsets[:-1], offsets[1:]) > 0
     ascii_letters = segment_sums((LETTER[data] & (data < 128)).astype(np.int64), offsets[:-1], offsets[1:]) > 0
     for i in np.flatnonzero(letters & ~ascii_letters):
         letters[i] = any(c.isalpha() for c in column[int(i)].as_py())
     docs = np.flatnonzero(letters)
     if not langs or not len(docs):
-        return pred, score, chosen
-    scores = table[grams(data)]
+        return pred, score, chosen, likely
+    scores = table[grams(data, offsets)]
     # units: equal stretches of each document, the last one shorter
     per = -(-np.diff(offsets)[docs] // UNIT)
     ends = np.cumsum(per)
@@ -121,23 +130,33 @@ def identify(column: pa.Array, langs: list[str], table: np.ndarray) -> tuple[lis
         s, of = e - k, np.repeat(np.arange(len(open_)), k)
         full, _ = mixture(u, s, e, of, np.ones((len(open_), len(langs))))
         order = np.argsort(-full, axis=1, kind="stable")
-        kept = value[open_]
-        for m in range(2, min(MOST, len(langs)) + 1):
-            allowed = np.zeros(full.shape)
-            np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-            part, like = mixture(u, s, e, of, allowed)
-            better = like - (m - 1) * cost[open_] > kept
-            kept = np.where(better, like - (m - 1) * cost[open_], kept)
-            share[open_[better]] = part[better]
-            pick[open_[better]] = allowed[better] > 0
+        kept, bound = value[open_], segment_sums(u.max(1), s, e)
+        for m in range(2, len(langs) + 1):
+            # larger sets go on only where each unit's own best language could still pay for them
+            live = np.flatnonzero(bound - (m - 1) * cost[open_] > kept)
+            if not len(live):
+                break
+            at = np.flatnonzero(np.isin(of, live))
+            ends_, size = np.cumsum(k[live]), k[live]
+            allowed = np.zeros((len(live), full.shape[1]))
+            np.put_along_axis(allowed, order[live][:, :m], 1.0, axis=1)
+            part, like = mixture(u[at], ends_ - size, ends_, np.repeat(np.arange(len(live)), size), allowed)
+            gain = like - (m - 1) * cost[open_[live]]
+            better = gain > kept[live]
+            kept[live[better]] = gain[better]
+            share[open_[live[better]]] = part[better]
+            pick[open_[live[better]]] = allowed[better] > 0
+        value[open_] = kept
+    # against an even draw from the bins, without what the set costs
+    likely[docs] = value + (pick.sum(1) - 1) * cost > -np.log(BINS) * np.diff(offsets)[docs]
     sure = np.exp(single - np.logaddexp.reduce(single, axis=1)[:, None])
     top = share.argmax(1)
     # the share of the language; for a single one its posterior against the others
-    value = np.where(pick.sum(1) > 1, share[np.arange(len(docs)), top], sure[np.arange(len(docs)), top])
+    top_share = np.where(pick.sum(1) > 1, share[np.arange(len(docs)), top], sure[np.arange(len(docs)), top])
     for i, d in enumerate(docs):
         pred[d], chosen[d] = langs[top[i]], ",".join(langs[j] for j in np.flatnonzero(pick[i]))
-    score[docs] = np.clip(value, 0, 1)
-    return pred, score, chosen
+    score[docs] = np.clip(top_share, 0, 1)
+    return pred, score, chosen, likely
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
@@ -152,25 +171,33 @@ def predict(documents: DataFrame, learned: tuple[list[str], np.ndarray] | None =
     def run(batches):
         langs, table = shared.value
         for batch in batches:
-            pred, score, chosen = identify(batch.column(1), langs, table)
+            pred, score, chosen, _ = identify(batch.column(1), langs, table)
             held = [fold_remainder(d, 3) == 1 for d in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     return documents.select(documents.doc_id.cast("long"), documents.text.cast("string")).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(documents: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose text has a language with a score of least or more; their columns stay as they are."""
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """The documents whose text is in learned languages; their columns stay as they are, whatever their names and values.
+
+    Rejected are texts that are null or without a letter, and those that an even draw from all bins explains better than
+    the text's own language set (noise, or a language that nothing was learned of). Each row is judged by its text alone,
+    so repeated rows and null ids stay or go alike. Without any labelled row nothing can be told apart, and all rows stay.
+    An empty table stays empty.
+    """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model(documents))
+    learned = model(documents)
+    if not learned[0]:
+        return documents
+    shared = spark.sparkContext.broadcast(learned)
     small_batches(spark)
     at = documents.columns.index("text")
 
     def run(batches):
         langs, table = shared.value
         for batch in batches:
-            pred, score, _ = identify(batch.column(at), langs, table)
-            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(identify(batch.column(at), langs, table)[3], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
