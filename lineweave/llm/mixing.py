@@ -11,7 +11,7 @@ are taken alike. The rows at the threshold itself are taken if that brings the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,12 +24,16 @@ DIGITS, BITS = 4, 12
 FEW_SOURCES = 100_000
 
 
+def digits() -> list[Column]:
+    """The hash digits of a row's doc_id."""
+    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return [F.conv(F.substring(md5, 1 + 3 * k, 3), 16, 10).cast("int") for k in range(DIGITS)]
+
+
 def sized(documents: DataFrame) -> DataFrame:
     """(doc_id, source, size, hash digits d1..d4), written once: the passes that follow read these narrow rows."""
-    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    digits = [F.conv(F.substring(md5, 1 + 3 * k, 3), 16, 10).cast("int").alias(f"d{k + 1}") for k in range(DIGITS)]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    return cut(documents.select("doc_id", F.col("source").cast("string").alias("source"), size, *digits))
+    return cut(documents.select("doc_id", F.col("source").cast("string").alias("source"), size, *(d.alias(f"d{k}") for k, d in enumerate(digits(), 1))))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -53,8 +57,12 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.withColumn("rounds", rounds.cast("long")).select("source", "source_size", "target", "rounds", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("rest"))
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, and taken (size times how often it is taken)."""
+def thresholds(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows of sized(), and one row a source: source, source_size, target, whole rounds, and the digits b1..b4
+    of the hash at which the next round ends, with_edge telling whether the rows at it belong to the round.
+
+    The sources are broadcast up to FEW_SOURCES of them, and joined by a shuffle beyond.
+    """
     docs = sized(documents)
     narrow = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     few = narrow.count() <= FEW_SOURCES
@@ -76,16 +84,24 @@ def mix(documents: DataFrame) -> DataFrame:
         plan = cut(plan)
     # the rows at the threshold: all of them where that ends nearer to the target
     plan = plan.withColumn("with_edge", 2 * F.col("rest") >= F.col("n"))
-    p = hint(plan.alias("p"))
-    below = F.lit(False)
-    equal = F.lit(True)
-    for k in range(1, DIGITS + 1):
-        below = below | (equal & (F.col(f"d{k}") < F.col(f"b{k}")))
-        equal = equal & (F.col(f"d{k}") == F.col(f"b{k}"))
-    extra = F.when(below | (equal & F.col("with_edge")), 1).otherwise(0)
-    times = F.least(F.col("rounds") + extra, F.lit(REPEATS))
-    joined = docs.alias("d").join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
-    return joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return docs, hint(plan)
+
+
+def times(digit: list[Column]) -> Column:
+    """How often a row with these digits is taken, from its source's row of thresholds()."""
+    below, equal = F.lit(False), F.lit(True)
+    for k, d in enumerate(digit, 1):
+        below = below | (equal & (d < F.col(f"b{k}")))
+        equal = equal & (d == F.col(f"b{k}"))
+    return F.least(F.col("rounds") + F.when(below | (equal & F.col("with_edge")), 1).otherwise(0), F.lit(REPEATS))
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, and taken (size times how often it is taken)."""
+    docs, plan = thresholds(documents)
+    joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    often = times([F.col(f"d{k}") for k in range(1, DIGITS + 1)])
+    return joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (F.col("size") * often).alias("taken"), often.alias("times"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +109,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_mix(documents: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken; the columns stay as they are.
+    """The documents that the mix takes, each as often as mix() says; the columns stay as they are.
 
-    doc_id decides how often, so rows with one doc_id are taken alike (the join carries one row per doc_id).
+    Whether a row is taken follows from its source and doc_id, so rows are filtered where they are: no text is shuffled.
+    Rows that repeat a doc_id are taken each by its own source; null ids, sources and texts as in mix(). An empty table
+    stays empty. The names of further columns don't matter.
     """
-    times = mix(documents).groupBy("doc_id").agg(F.max("times").alias("__times")).where("__times > 0")
-    taken = documents.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"d.`{c}`").alias(c) for c in documents.columns))
+    _, plan = thresholds(documents)
+    keep = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    docs = documents.select(keep, F.col("source").cast("string").alias("own"), *(d.alias(f"d{k}") for k, d in enumerate(digits(), 1)))
+    taken = docs.join(plan, F.col("own").eqNullSafe(F.col("source")))
+    often = times([F.col(f"d{k}") for k in range(1, DIGITS + 1)]).cast("int")
+    return taken.where(often > 0).select("row", F.explode(F.sequence(F.lit(1), often))).select("row.*")
 
 
 def oracle() -> str:
