@@ -53,9 +53,33 @@ def accepted(kind: str, found: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match that begins within a run of digits needs what the one at the run's start needs.
+IP_RUN = re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern)
+
+
+def emails(text: str):
+    """The matches of the email pattern, found from each @: in time that grows with the text alone."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind, then start."""
-    return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) for m in PATTERNS[kind].finditer(text) if accepted(kind, m[0])]
+    found = [(0, a, b) for a, b in emails(text)]
+    for k, kind in enumerate(KINDS[1:], 1):
+        pattern = IP_RUN if kind == "ip" else PATTERNS[kind]
+        found += [(k, m.start(), m.end()) for m in pattern.finditer(text) if accepted(kind, m[0])]
+    return found
 
 
 # ---- the CRF ---------------------------------------------------------------------------------------------------------
@@ -63,15 +87,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 PLAIN = "plain"
 
 
-@lru_cache(maxsize=1 << 16)
 def shape(word: str) -> str:
     """A word's shape: letter runs as x, digit runs as a code of their length, other ASCII signs as they are."""
+    return known_shape(word) if len(word) <= 64 else shape_of(word)
+
+
+@lru_cache(maxsize=1 << 16)
+def known_shape(word: str) -> str:
+    return shape_of(word)
+
+
+def shape_of(word: str) -> str:
     core = word.rstrip(".,;:!?")
     if not any(c in "0123456789@+([" for c in core):
         return PLAIN
     out = re.sub(r"[^\W\d_]+", "x", core)
     out = re.sub(r"[0-9]+", lambda m: "d" if len(m[0]) < 4 else "D" if len(m[0]) == 4 else "N" if len(m[0]) < 13 else "M", out)
-    return re.sub(r"[^\x21-\x7e]+", "#", out)[:24]
+    return re.sub(r"[^\x21-\x7e]+", "#", out)
 
 
 JOINERS = {"(at)", "[at]", "(dot)", "[dot]"}

@@ -30,6 +30,7 @@ BASE_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"
 #: Words that make a context sensitive beyond the base ones.
 CONTEXT_WORDS = (b"pwd", b"passphrase", b"credential", b"bearer", b"authorization", b"private_key", b"private key", b"access_key", b"access key", b"auth_key", b"client_secret", b"signing_key")
 CONTEXT = re.compile("|".join(re.escape(w.decode()) for w in (*BASE_WORDS, *CONTEXT_WORDS)), re.IGNORECASE | re.ASCII)
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters between a sensitive word's end and a candidate, at most; characters of context on either side.
 REACH, AROUND = 24, 96
@@ -88,16 +89,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that no base span touches and that do not compress."""
-    out, done = [], 0
-    for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done)):
-            if m.start() - word.end() > REACH:
-                break
-            done = m.end()
-            value = m[0]
+    out, done, k = [], 0, 0
+    # both lists are in text order, so one walk along them meets every word with the runs within its reach
+    words = [w.end() for w in CONTEXT.finditer(text)]
+    runs = [m.span() for m in CANDIDATE.finditer(text)] if words else []
+    base, first = sorted((a, b) for a, _, b in base), 0
+    for end in words:
+        while k < len(runs) and max(runs[k][0], end, done) <= end + REACH:
+            start, stop = max(runs[k][0], end, done), runs[k][1]
+            k += 1
+            if stop - start < SHORTEST:
+                continue  # what later words leave of it is shorter still
+            done, value = stop, text[start:stop]
             mixed = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]")) >= 2
-            if mixed and not any(a < m.end() and m.start() < b for a, _, b in base) and novelty(text, m.start(), m.end()) >= NOVELTY:
-                out.append((m.start(), 0, m.end()))
+            while first < len(base) and base[first][1] <= start:
+                first += 1
+            at, touched = first, False
+            while at < len(base) and base[at][0] < stop and not touched:
+                touched, at = base[at][1] > start, at + 1
+            if mixed and not touched and novelty(text, start, stop) >= NOVELTY:
+                out.append((start, 0, stop))
     return out
 
 
