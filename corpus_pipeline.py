@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lineweave.llm import langid, mixing, orderminhash, secrets, sentencepieces
+from lineweave.plans.lineage import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +35,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("secret scans", secret_scan), ("mixing sources", mix_sources), ("SentencePiece encoding", encode)]
 
-#: The model-based stages can't be expressed in SQL; tests hold run() against brute force.
+#: The model-based stages can't be expressed in SQL; a test holds run() against brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over all documents; each result but the last is written as Parquet below the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
