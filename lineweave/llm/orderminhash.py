@@ -238,7 +238,7 @@ class Leader:
 
 
 def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
-    """(a, b, ok) for the distinct pairs (a, b); an id that has several texts is similar if one of them is. Each text is sent once by its id, then to each leader a that asks for it.
+    """The similar ones (a, b) of distinct pairs (a, b); an id that has several texts is similar if one of them is. Each text is sent once by its id, then to each leader a that asks for it.
 
     A leader's pairs are dealt over SALTS tasks, each of which gets the leader's text once.
     """
@@ -276,7 +276,7 @@ def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
     def run(batches):
         press, now, leaders = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
-            left, right, ok = [], [], []
+            left, right = [], []
             for a, salt, id_, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (a, salt) != now:
                     now, leaders = (a, salt), []
@@ -284,14 +284,14 @@ def verified(pairs: DataFrame, packs: DataFrame) -> DataFrame:
                 if id_ == a:
                     leaders.append(Leader(text))
                     continue
-                left.append(a)
-                right.append(id_)
-                ok.append(any(leader.similar(text) for leader in leaders))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+                if any(leader.similar(text) for leader in leaders):
+                    left.append(a)
+                    right.append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     met = by_id.mapInArrow(send, "a long, salt int, id long, pack binary")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
-    return met.mapInArrow(run, "a long, b long, ok boolean")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def fits(words: str, other: str) -> Column:
@@ -299,11 +299,22 @@ def fits(words: str, other: str) -> Column:
     return F.abs(F.col(words) - F.col(other)) <= F.floor((1 - SIMILARITY) * F.greatest(words, other) + 1e-9)
 
 
+#: The columns of a member of a group, in the order in which open_pairs() reads them.
+MEMBER = ["bucket", "low", "high", "words", "block", "rep", "component", "first", "bag", "bands"]
+GROUP = "bucket long, low long, high long, words long, block long, rep long, component long, first boolean, bag binary, bands array<long>"
+
+
 def open_pairs(rows: pa.Table):
-    """(a, b) of the pairs of a group (bucket, low, high), sorted by words, that are not linked and that the numbers of their words allow."""
+    """Index arrays of the pairs of groups (bucket, low, high), sorted by words, that still have to be aligned.
+
+    Left out are pairs that are linked already, that the numbers of words rule out, that were aligned with the bucket's
+    first member before, and that meet in a bucket of an earlier sketch too: they are aligned there.
+    """
     n = rows.num_rows
-    bucket, low, high, words, block, rep, component = (rows.column(k).to_numpy() for k in range(7))
-    bag = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint8).reshape(n, BINS)
+    bucket, low, high, words, block, component = (rows.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 6))
+    first = rows.column(7).to_numpy(zero_copy_only=False) if isinstance(rows.column(7), pa.Array) else rows.column(7).combine_chunks().to_numpy(zero_copy_only=False)
+    bag = np.frombuffer(b"".join(rows.column(8).to_pylist()), dtype=np.uint8).reshape(n, BINS)
+    bands = np.concatenate([c.flatten().to_numpy() for c in rows.column(9).chunks]).reshape(n, -1)
     full = bag[:, 0] == MANY
     fresh = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     group = np.concatenate([[0], np.cumsum(fresh)])
@@ -317,44 +328,83 @@ def open_pairs(rows: pa.Table):
         i = np.repeat(np.arange(start, stop), count[start:stop])
         j = i + 1 + np.arange(len(i)) - (done[i] - done[start])
         most = ((1 - SIMILARITY) * np.maximum(words[i], words[j]) + 1e-9).astype(np.int64)
-        good = (component[i] != component[j]) & (np.abs(words[i] - words[j]) <= most) & ((low[i] == high[i]) | (block[i] != block[j]))
+        good = (component[i] != component[j]) & (np.abs(words[i] - words[j]) <= most) & ((low[i] == high[i]) | (block[i] != block[j])) & ~first[i] & ~first[j]
         i, j, most, start = i[good], j[good], most[good], stop
         for k in range(0, len(i), 1 << 13):
             x, y, m = i[k : k + (1 << 13)], j[k : k + (1 << 13)], most[k : k + (1 << 13)]
             ok = full[x] | full[y] | (np.maximum(words[x], words[y]) - np.minimum(bag[x], bag[y]).sum(1, dtype=np.int64) <= m)
-            x, y = rep[x[ok]], rep[y[ok]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def unlinked(met: DataFrame, parts: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b): the pairs of members (rep, words, bucket) of a bucket whose components differ and whose words allow a link.
-
-    parts: (node, component); own: (rep, bag). Every block of a bucket meets itself and each other one.
+            x, y = x[ok], y[ok]
+            met = bands[x, (bands[x] == bands[y]).argmax(1)] == bucket[x]
+            if met.any():
+                yield x[met], y[met]
+
+
+def by_group(batches, each):
+    """Calls each(table) with whole groups (bucket, low, high) of rows that come sorted by them."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        keys = [rows.column(k).to_numpy() for k in range(3)]
+        fresh = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        last = int(fresh[-1]) + 1 if len(fresh) else 0
+        if last:
+            yield from each(rows.slice(0, last))
+        held = rows.slice(last)
+    if held is not None and held.num_rows:
+        yield from each(held)
+
+
+def unlinked(met: DataFrame, parts: DataFrame, own: DataFrame, packs: DataFrame) -> DataFrame:
+    """(a, b): links between members (rep, words, bucket, leader) of a bucket whose components differ so far.
+
+    parts: (node, component); own: (rep, bag, bands). Every block of a bucket meets itself and each other one. Members that
+    have a pair to align are found by their numbers alone; only they are sent their texts, and they are aligned where they
+    stand, so that no pair is ever a row.
     """
-    members = met.select("rep", "words", "bucket").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = met.select("rep", "words", "bucket", (F.col("rep") == F.col("leader")).alias("first")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     many = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y")
     rows = members.join(many.select("bucket", "blocks"), "bucket").join(own, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "words", "block", "rep", "component", "bag")
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(*MEMBER)
+    keys = ["bucket", "low", "high"]
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if held is not None:
-                rows = pa.concat_tables([held, rows]).combine_chunks()
-            keys = [rows.column(k).to_numpy() for k in range(3)]
-            fresh = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
-            last = int(fresh[-1]) + 1 if len(fresh) else 0
-            if last:
-                yield from open_pairs(rows.slice(0, last))
-            held = rows.slice(last)
-        if held is not None and held.num_rows:
-            yield from open_pairs(held)
+    def involved(table):
+        found = np.zeros(table.num_rows, dtype=bool)
+        for x, y in open_pairs(table):
+            found[x] = found[y] = True
+        if found.any():
+            yield from table.filter(pa.array(found)).to_batches()
+
+    def align(table):
+        press, root, texts = zstandard.ZstdDecompressor(), {}, table.column(len(MEMBER))
+        rep = table.column(5).to_numpy()
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in open_pairs(table):
+            last, leader, left, right = -1, None, [], []
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = find(rep[i]), find(rep[j])
+                if a == b:
+                    continue
+                if i != last:
+                    last, leader = i, Leader(press.decompress(texts[i].as_py()))
+                if leader.similar(press.decompress(texts[j].as_py())):
+                    root[max(a, b)] = min(a, b)
+                    left.append(rep[i])
+                    right.append(rep[j])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    keys = ["bucket", "low", "high"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "words").mapInArrow(run, "a long, b long").distinct()
+    wanted = cut(rows.repartition(*keys).sortWithinPartitions(*keys, "words").mapInArrow(lambda batches: by_group(batches, involved), GROUP))
+    small_batches(met.sparkSession)
+    sent = wanted.join(packs.withColumnRenamed("id", "rep"), "rep").select(*MEMBER, "pack").repartition(*keys).sortWithinPartitions(*keys, "words")
+    return sent.mapInArrow(lambda batches: by_group(batches, align), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -370,11 +420,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     pairs = met.where("leader <> rep").where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = cut(verified(pairs, packs))
-    parts = cut(components(first.where("ok").select("a", "b")))
-    found = unlinked(met, parts, classes.select("rep", "bag"))
-    second = cut(verified(found.join(first.select("a", "b"), ["a", "b"], "left_anti"), packs))
+    parts = cut(components(first))
+    second = cut(unlinked(met, parts, classes.select("rep", "bag", "bands"), packs))
     free(met, packs, first)
-    parts = components(second.where("ok").select("a", "b").union(parts.where("node <> component")))
+    parts = components(second.union(parts.where("node <> component")))
     whole = classes.select("key", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     # rows that share an id share a class, whatever their texts
     found = rows.select("doc_id", "key", "words").join(whole, "key", "left")
