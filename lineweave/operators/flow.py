@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import callees, callers, distances
+from ..functions import tables
+from ..plans.lineage import cut
+from .graph import callees, callers, distances, spread
 from .slices import enclosing_functions, mark
+from .taint import any_of
 
 
 def stem(path: Column) -> Column:
@@ -45,7 +48,7 @@ def line_graph(edges: DataFrame) -> DataFrame:
 def forward(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, line): the lines and all that their definitions flow to."""
     starts = lines.select(F.lit(0).alias("origin"), F.struct("file", "line").alias("node"))
-    return distances(line_graph(edges), starts).select("node.file", "node.line").distinct()
+    return distances(cut(line_graph(edges)), starts).select("node.file", "node.line").distinct()
 
 
 def taint(sources: DataFrame, sinks: DataFrame, edges: DataFrame, functions: DataFrame, cleansers: DataFrame) -> DataFrame:
@@ -57,10 +60,15 @@ def taint(sources: DataFrame, sinks: DataFrame, edges: DataFrame, functions: Dat
     c = cleansers.select(F.col("file").alias("c_file"), F.col("line").alias("c_line"))
     cleansed = spans.join(c, (F.col("file") == F.col("c_file")) & F.col("c_line").between(F.col("start_line"), F.col("end_line")), "left_semi").select("file", "line")
     live = sources.select("file", "line").distinct().join(cleansed, ["file", "line"], "left_anti")
-    node = F.struct("file", "line")
-    reached = distances(line_graph(edges.where("use_line > def_line")), live.select(node.alias("origin"), node.alias("node"))).where("hop > 0")
-    hits = reached.select("node.file", "node.line", F.col("origin.line").alias("source_line")).join(sinks.select("file", "line").distinct(), ["file", "line"])
-    return hits.groupBy("file", F.col("line").alias("sink_line")).agg(F.max("source_line").alias("source_line"))
+    # the last source that reaches a line is the greatest mark that arrives there, so one row a line is passed on
+    graph = cut(line_graph(edges.where("use_line > def_line")))
+    nodes = graph.select(F.col("src").alias("node")).union(graph.select("dst")).distinct()
+    own = live.select(F.struct("file", "line").alias("node"), (-F.col("line")).alias("mark"))
+    marks = cut(nodes.join(own, "node", "left"))
+    inner = spread(graph, marks)
+    come = graph.join(inner, F.col("src") == F.col("node")).groupBy("dst").agg((-F.min("mark")).alias("source_line")).where("source_line is not null")
+    hits = come.select("dst.file", "dst.line", "source_line").join(sinks.select("file", "line").distinct(), ["file", "line"])
+    return hits.select("file", F.col("line").alias("sink_line"), "source_line")
 
 
 def branch_context(lines: DataFrame, branches: DataFrame, most: int = 5) -> DataFrame:
@@ -154,13 +162,13 @@ def quantum(assignments: DataFrame, async_points: DataFrame, functions: DataFram
     return found.where("after or before")
 
 
-def echo(calls: DataFrame, changed: DataFrame, source_lines: DataFrame, functions: DataFrame, words: list[str], ahead: int = 3, behind: int = 5) -> DataFrame:
-    """(file, line, callee): calls of changed functions with no handling word from ahead lines before the call to behind
-    lines after it (within the caller). calls: (file, line, callee_file, callee); changed: (callee_file, callee)."""
+def echo(calls: DataFrame, changed: DataFrame, source_lines: DataFrame, functions: DataFrame, words=tables.HANDLED, ahead: int = 3, behind: int = 5) -> DataFrame:
+    """(file, line, callee): calls of changed functions with no handling text from ahead lines before the call to behind
+    lines after it (within the caller), the lines joined by blanks. calls: (file, line, callee_file, callee); changed:
+    (callee_file, callee)."""
     sites = enclosing_functions(calls.join(changed, ["callee_file", "callee"], "left_semi").select("file", "line", "callee").distinct(), functions)
-    handled = F.lit(False)
-    for w in words:
-        handled = handled | F.col("text").contains(w)
-    near = source_lines.where(handled).select(F.col("file").alias("h_file"), F.col("line").alias("h"))
-    inside = F.col("h").between(F.col("line") - ahead, F.least(F.col("line") + behind, F.col("end_line")))
-    return sites.join(near, (F.col("file") == F.col("h_file")) & inside, "left_anti").select("file", "line", "callee")
+    # each site asks for at most ahead + behind + 1 lines, by number
+    asked = sites.withColumn("h", F.explode(F.sequence(F.greatest(F.col("line") - ahead, F.lit(1)), F.least(F.col("line") + behind, "end_line"))))
+    near = source_lines.select("file", F.col("line").alias("h"), "text")
+    texts = asked.join(near, ["file", "h"]).groupBy("file", "line", "callee").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), " ").alias("context"))
+    return texts.where(~any_of(F.col("context"), words)).select("file", "line", "callee")

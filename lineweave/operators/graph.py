@@ -18,7 +18,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(origin, node, hop): the least number of hops from each origin; starts: (origin, node). Origins have hop 0."""
-    edges = edges.select("src", "dst")
+    # every hop reads the edges again: they are written once, whatever they were made from
+    edges = cut(edges.select("src", "dst"))
     frontier = cut(starts.select("origin", "node").distinct().withColumn("hop", F.lit(0).cast("long")))
     reached, hop = frontier, 0
     while max_hops is None or hop < max_hops:
@@ -36,6 +37,13 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return distances(edges, starts).where("hop > 0").select("origin", "node")
 
 
+def has_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with a path from src to dst; a node has one to itself."""
+    starts = pairs.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
+    reached = distances(edges, starts).select(F.col("origin").alias("src"), F.col("node").alias("dst"))
+    return pairs.distinct().join(reached, ["src", "dst"], "left_semi")
+
+
 def chop(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """(node) on some path from a source to a sink, ends included. sources, sinks: (node)."""
     ahead = distances(edges, sources.select(F.lit(0).alias("origin"), "node")).select("node")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tables
+
 
 def enclosing_functions(lines: DataFrame, functions: DataFrame, every: bool = False) -> DataFrame:
     """lines with (name, start_line, end_line) of the innermost function around each; every: of all of them."""
@@ -82,15 +84,6 @@ def delta(old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     return gone.unionByName(new_edges.distinct().exceptAll(old_edges.distinct()).withColumn("change", F.lit("added")))
 
 
-def horizontal(diff_lines: DataFrame, functions: DataFrame, prefix: int = 2, preview: int = 10) -> DataFrame:
-    """(file, name, line): the first preview + 1 lines and the end of each changed function and of its peers (functions
-    of the same file whose names share a prefix)."""
-    changed = enclosing_functions(diff_lines.select("file", "line").distinct(), functions).select("file", F.substring("name", 1, prefix).alias("stem")).distinct()
-    peers = functions.withColumn("stem", F.substring("name", 1, prefix)).join(changed, ["file", "stem"])
-    lines = F.array_union(F.sequence("start_line", F.least(F.col("start_line") + preview, "end_line")), F.array("end_line"))
-    return peers.select("file", "name", F.explode(lines).alias("line"))
-
-
 def spiral(rings: list[DataFrame], stop: float = 0.05) -> DataFrame:
     """(file, line, ring): the union of rings (file, line), each line in its first ring; a ring that adds less than
     stop of what was there before ends it. One count a ring."""
@@ -108,7 +101,7 @@ def spiral(rings: list[DataFrame], stop: float = 0.05) -> DataFrame:
     return out
 
 
-def membrane(diff_lines: DataFrame, functions: DataFrame, calls: DataFrame, source_lines: DataFrame, guards: list[str], around: int = 2) -> DataFrame:
+def membrane(diff_lines: DataFrame, functions: DataFrame, calls: DataFrame, source_lines: DataFrame, guards=tables.GUARDED, around: int = 2) -> DataFrame:
     """(file, line, callee): calls from other files into a changed function with no guard word within around lines.
 
     calls: (file, line, callee_file, callee).
@@ -117,15 +110,19 @@ def membrane(diff_lines: DataFrame, functions: DataFrame, calls: DataFrame, sour
     sites = calls.join(changed, ["callee_file", "callee"]).where("file <> callee_file")
     near = source_lines.select(F.col("file").alias("g_file"), F.col("line").alias("g_line"), "text")
     guarded = F.lit(False)
-    for g in guards:
+    for g in dict.fromkeys(guards):
         guarded = guarded | F.col("text").contains(g)
     near = near.where(guarded)
     return sites.join(near, (F.col("file") == F.col("g_file")) & F.col("g_line").between(F.col("line") - around, F.col("line") + around), "left_anti").select("file", "line", "callee").distinct()
 
 
 def nearest_source(sinks: DataFrame, sources: DataFrame) -> DataFrame:
-    """sinks (file, line) with source_line: the last source of the file before each, or else its first one."""
-    s = sources.select(F.col("file").alias("s_file"), F.col("line").alias("s"))
-    joined = sinks.join(s, F.col("file") == F.col("s_file"))
-    before = F.max(F.when(F.col("s") < F.col("line"), F.col("s")))
-    return joined.groupBy("file", "line").agg(F.coalesce(before, F.min("s")).alias("source_line"))
+    """sinks (file, line) with source_line: the last source of the file before each, or else its first one.
+
+    One pass over both kinds of lines in order; sinks of files without a source are left out.
+    """
+    rows = sources.select("file", "line", F.col("line").alias("s")).distinct().unionByName(sinks.select("file", "line").distinct().withColumn("sink", F.lit(True)), allowMissingColumns=True)
+    before = Window.partitionBy("file").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    from_here = Window.partitionBy("file").orderBy("line").rangeBetween(0, Window.unboundedFollowing)
+    found = rows.withColumn("source_line", F.coalesce(F.max("s").over(before), F.min("s").over(from_here)))
+    return found.where("sink and source_line is not null").select("file", "line", "source_line")

@@ -46,14 +46,18 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): parts that follow each other in one order call each other; no self-calls."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    part = F.col("l_partkey") % 200
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(part.alias("src"), F.lead(part).over(w).alias("dst"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return rows.where("dst is not null and src <> dst").distinct()
 
 
+def changed_functions(spark: SparkSession, sf_dir: str, size: int = 1) -> DataFrame:
+    """(node): the large parts of a size stand for the functions that a diff touches."""
+    return read(spark, sf_dir, "part").where((F.col("p_type") == "LARGE") & (F.col("p_size") == size)).select(F.col("p_partkey").alias("node"))
+
+
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(commit_id, file, ts): ten events are a commit, users are files."""
-    return read(spark, sf_dir, "events").select(F.expr("event_id div 10").alias("commit_id"), (F.col("user_id") % 30).alias("file"), "ts")
+    """(commit_id, file, ts): fifty events are a commit, users are files."""
+    return read(spark, sf_dir, "events").select(F.expr("event_id div 50").alias("commit_id"), F.col("user_id").alias("file"), "ts")
 
 
 #: The same relations as DuckDB SQL, for the oracles.
@@ -64,8 +68,9 @@ SQL = {
     "functions": "SELECT file, name, start_line, end_line FROM outer_functions UNION ALL SELECT file, 'g' || file || '_' || k, start_line + 2, start_line + 5 FROM outer_functions WHERE end_line - start_line >= 6",
     "identifiers": "SELECT DISTINCT file, line, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS name FROM source_lines",
     "definitions": "SELECT file, line, lower(regexp_extract(text, '[A-Za-z]+')) AS name FROM source_lines WHERE regexp_extract(text, '[A-Za-z]+') <> ''",
-    "call_edges": "SELECT DISTINCT src, dst FROM (SELECT l_partkey % 200 AS src, lead(l_partkey % 200) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey % 40 = 0) WHERE dst IS NOT NULL AND src <> dst",
-    "commit_files": "SELECT event_id // 10 AS commit_id, user_id % 30 AS file, ts FROM events",
+    "call_edges": "SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst",
+    "changed": "SELECT p_partkey AS node FROM part WHERE p_type = 'LARGE' AND p_size = 1",
+    "commit_files": "SELECT event_id // 50 AS commit_id, user_id AS file, ts FROM events",
 }
 
 
