@@ -76,7 +76,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = (F.col(c).cast("long") for c in links.columns)
     now = cut(forest(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")))
-    moved = True
+    moved = not now.isEmpty()  # of an empty plan nothing would be observed
     while moved:
         step, seen = now, []
         for large in (True, False):

@@ -433,14 +433,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents of which doc_id is the least of its class; of rows that repeat an id, one."""
-    kept = near_duplicates(documents).where("kept").select("doc_id")
-    counts = kept.groupBy("doc_id").agg(F.count("*").alias("__n"))
-    found = documents.join(counts.where("doc_id is not null"), "doc_id")
-    once = found.where("__n = 1").select(*documents.columns)
+    """The documents of which doc_id is the least of its class; the columns stay as they are, whatever their names.
+
+    Of rows that repeat an id one stays. Rows with a null id stay, and so do texts without words (null, empty, blank), each
+    a class of its own. An empty table stays empty.
+    """
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = near_duplicates(documents).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = rows.join(kept.withColumnRenamed("doc_id", "id"), "id")
     # ids that repeat, as a rule none: one row of each
-    many = found.where("__n > 1").select(*documents.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(many).unionByName(documents.where("doc_id is null"))
+    many = found.where("n > 1").dropDuplicates(["id"])
+    return found.where("n = 1").select("row").unionByName(many.select("row")).unionByName(rows.where("id is null").select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

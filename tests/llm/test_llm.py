@@ -320,3 +320,175 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert out.count() == docs.count() > 100 and out.where("not exact").count() == 0
+
+
+def test_a_text_alone_decides_its_language(documents):
+    learned = langid.model(documents)
+    import pyarrow as pa
+
+    words = ["A", "der", "la", "on", "été", "ce", "x"]
+    alone = [tuple(x[0] for x in langid.identify(pa.array([w]), *learned)) for w in words]
+    for before in ("und", "der die das und nicht", "las casas de la"):
+        for w, want in zip(words, alone, strict=True):
+            assert tuple(x[2] for x in langid.identify(pa.array([before, None, w]), *learned)) == want
+
+
+def test_language_sets_have_no_largest_size(spark):
+    vocabulary = {x: [f"{x}{a}{b}" for a in "bdfg" for b in "aeiou"] for x in ("kra", "plo", "snu", "vri", "gwe")}
+    rng = random.Random(3)
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x]) for _ in range(n))
+    rows = [(i, text(x, 200), x) for i, x in enumerate([*vocabulary] * 30)]
+    learned = langid.model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    import pyarrow as pa
+
+    mixed = " ".join(text(x, 400) for x in list(vocabulary)[:4])
+    assert langid.identify(pa.array([mixed]), *learned)[2] == [",".join(sorted(list(vocabulary)[:4]))]
+
+
+def test_noise_is_rejected_and_documents_stay(spark, documents):
+    rng = random.Random(1)
+    noise = [(10**6 + i, "".join(chr(rng.randrange(0x3400, 0x9FFF)) for _ in range(300)), None, "s", 300) for i in range(5)] + [(None, None, None, None, None), (5, "12 34", "en", "s", 5)]
+    found = langid.keep_identified(documents.unionByName(spark.createDataFrame(noise, documents.schema)))
+    assert found.where("doc_id >= 1000000 or doc_id is null").count() == 0
+    assert found.count() == documents.where("text rlike '\\\\p{L}'").count()
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("a1.@-+ 9(é%") for _ in range(rng.randint(0, 30)))
+        plain = [(k, m.start(), m.end()) for k, kind in enumerate(pii.KINDS) for m in pii.PATTERNS[kind].finditer(text) if pii.accepted(kind, m[0])]
+        assert pii.base_spans(text) == plain
+
+
+def plain_novel_spans(text, base):
+    out, done = [], 0
+    for word in secrets.CONTEXT.finditer(text):
+        for m in secrets.CANDIDATE.finditer(text, max(word.end(), done)):
+            if m.start() - word.end() > secrets.REACH:
+                break
+            done = m.end()
+            kinds = sum(any(c in group for c in m[0]) for group in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+            if kinds >= 2 and not any(a < m.end() and m.start() < b for a, _, b in base) and secrets.novelty(text, m.start(), m.end()) >= secrets.NOVELTY:
+                out.append((m.start(), 0, m.end()))
+    return out
+
+
+def test_novel_spans_word_by_word():
+    rng = random.Random(6)
+    pieces = ["token ", "bearer", "pwd", " ", "=", "aB3dE5fG7hJ9kL1mN3pQ5rS7", "deadbeefdeadbeef", "x" * 20, "Zq8", "; ", "credential "]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        base = secrets.base_spans(text)
+        assert secrets.novel_spans(text, base) == plain_novel_spans(text, base)
+
+
+def test_a_million_characters_take_seconds():
+    import time
+
+    began = time.process_time()
+    for text in ("a" * 1_000_000 + "1", "1" * 1_000_000, "1." * 500_000, "@" * 1_000_000, "+" + " " * 1_000_000, "a@" * 500_000):
+        pii.base_spans(text)
+    for text in ("token " * 170_000, "aB3" * 330_000, "token" + "a1" * 500_000, "secret=" * 140_000):
+        secrets.novel_spans(text, secrets.base_spans(text))
+    assert time.process_time() - began < 60
+
+
+def test_recall_of_planted_disguises(documents):
+    """Disguised personal data and bare keys put between the words of documents: what the CRF and the novelty add to the base."""
+    rng = random.Random(9)
+    hidden = ["jo.ann[at]mail[dot]org", "bob (at) site (dot) com", "(017) 555-7713", "10[.]2[.]3[.]44", "192(.)168(.)0(.)7", "4111.1111.1111.1111"]
+    texts = [r["text"].split() for r in documents.where("length(text) > 200").limit(60).collect()]
+    found = planted = 0
+    model = pii.trained()
+    for words in texts:
+        at, what = rng.randrange(len(words)), rng.choice(hidden)
+        text = " ".join([*words[:at], what, *words[at:]])
+        start = len(" ".join(words[:at])) + (at > 0)
+        planted += 1
+        found += any(a <= start and b >= start + len(what) for _, a, b in pii.crf_spans([text], model)[0])
+    assert found / planted > 0.9
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in texts]
+    hits = 0
+    for words, key in zip(texts, keys, strict=True):
+        text = " ".join([*words[:9], "bearer", key, *words[9:]])
+        hits += any(text[a:b] == key for a, _, b in secrets.novel_spans(text, secrets.base_spans(text)))
+    assert hits / len(keys) > 0.9
+
+
+def test_near_duplicates_that_a_leader_has_taken_keep_their_links(spark):
+    """A text, 250 near copies of it, and one more that only the first of them is similar to."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(100)]
+    rows = []
+    for k in range(250):
+        at = rng.randrange(82)
+        rows.append((k, " ".join(base[:at] + [word() for _ in range(18)] + base[at + 18 :])))
+    rows += [(1000, " ".join(base)), (1001, " ".join(base[:81] + [word() for _ in range(19)]))]
+    got = {r["doc_id"]: r["component_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Two texts share an id; each brings its own near copies into the class."""
+    rng = random.Random(13)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in "ab")
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (8, " ".join(one[:-1] + ["x"])), (9, " ".join(two[:-1] + ["y"])), (10, "something else")]
+    got = {r["doc_id"]: r["component_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 10: 10}
+
+
+STAGES = [langid.keep_identified, orderminhash.deduplicate, secrets.redact, mixing.apply_mix]
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda f: f.__name__)
+def test_stages_take_odd_rows(stage, spark):
+    """Nulls in every column, repeated ids, empty and blank texts, columns with the names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __n int, __times int, __copy int, rep long, size long, d1 int, own string, row string"
+    rest = (1, 2, 3, 4, 5, 6, "o", "r")
+    rows = [(1, "some words in a text here", "en", "a", 1, *rest), (1, "some words in a text here", "en", "a", 1, *rest), (2, "", "en", "a", 0, *rest), (3, None, None, None, None, *rest), (None, "words without an id", "en", None, 3, *rest), (4, " \n ", None, "b", 0, *rest), (None, None, None, None, None, *([None] * 8))]
+    df = spark.createDataFrame(rows, schema)
+    out = stage(df)
+    assert out.columns == df.columns
+    assert {tuple(r)[5:] for r in out.collect()} <= {tuple(r)[5:] for r in rows}
+    assert stage(df.limit(0)).count() == 0
+
+
+def test_no_unit_of_an_ordinary_document_goes_to_the_library(documents):
+    assert sentencepieces.encode(documents).where("n_library > 0").count() <= 0.02 * documents.count()
+
+
+def test_run_against_brute_force(spark):
+    """Every stage of run() again, row by row, in plain Python and DuckDB."""
+    import corpus_pipeline
+    import duckdb
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    learned = langid.model(docs)
+    rows = [r for r in docs.collect() if r["text"] and langid.identify(pa.array([r["text"]]), *learned)[3][0]]
+    root = {r["doc_id"]: r["doc_id"] for r in rows}
+    words = [(r["doc_id"], r["text"], orderminhash.Leader(r["text"].encode())) for r in rows]
+    for k, (i, text, leader) in enumerate(words):
+        for j, other, more in words[:k]:
+            if root[i] != root[j] and abs(len(leader.words) - len(more.words)) <= 0.2 * max(len(leader.words), len(more.words)) + 1 and leader.similar(other.encode()):
+                a, b = root[i], root[j]
+                root = {x: min(a, b) if y in (a, b) else y for x, y in root.items()}
+    rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+    clean = []
+    for r in rows:
+        text = r["text"]
+        base = secrets.base_spans(text)
+        for a, _, b in base + plain_novel_spans(text, base):
+            text = text[:a] + "*" * (b - a) + text[b:]
+        clean.append((r["doc_id"], text, r["source"]))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [c[0] for c in clean], "text": [c[1] for c in clean], "source": [c[2] for c in clean]}))
+    often = {i: taken // size for i, size, _, _, taken in con.execute(mixing.oracle()).fetchall() if size}
+    sp = sentencepieces.processor(open(sentencepieces.default_model(), "rb").read())
+    want = Counter()
+    for i, text, _ in clean:
+        want[i, tuple(sp.encode(text))] += often.get(i, 0)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == +want
