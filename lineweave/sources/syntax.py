@@ -528,10 +528,13 @@ class BraceReader:
             end = self.close(i, stop)
             inner = self.statements(i + 1, end)
             return Block(role, inner[0].line if inner else self.t[i][1], inner[-1].end if inner else self.t[end][1], inner), end + 1
+        if i >= stop:  # the text ends here
+            at = self.t[-1][1] if self.t else 1
+            return Block(role, at, at), i
         before = i
         got, i = self.statement(i, stop)
         i += i < stop and self.t[i][0] == ";"
-        last = self.t[max(before, i - 1)][1] if before < len(self.t) else 1
+        last = self.t[min(max(before, i - 1), len(self.t) - 1)][1] if self.t else 1
         return Block(role, got[0].line if got else last, got[-1].end if got else last, got), i
 
     def condition(self, i: int, stop: int, s: Statement) -> int:
@@ -882,5 +885,10 @@ def read(source: str | None, lang: str | None) -> Unit | None:
     if lang == "python":
         return PythonReader(source or "").read()
     if lang in LANGUAGES:
-        return BraceReader(source or "", lang).read()
+        reader = BraceReader(source or "", lang)
+        try:
+            return reader.read()
+        except RecursionError:  # blocks nested too deep: what was read so far, and the first line as an error
+            reader.unit.errors.append(1)
+            return reader.unit
     return None

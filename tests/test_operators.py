@@ -5,8 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 from lineweave.functions import paths
-from lineweave.operators import flow, graph, patterns, render, rules, slices
+from lineweave.operators import calls as calls_
+from lineweave.operators import control, flow, graph, patterns, render, rules, slices, taint
 from lineweave.sources import diffs
+from lineweave.sources.code import Code, facts, scan
+from lineweave.sources.syntax import LANGUAGES, blanked, read
 from lineweave.streaming import history as stream
 
 
@@ -107,3 +110,89 @@ def test_cleansed_and_backward_flows_are_no_taint(spark):
     lines = lambda *ns: spark.createDataFrame([("f", n) for n in ns], "file string, line long")
     got = flow.taint(lines(2, 12), lines(3, 6, 14), edges, functions, lines(13)).collect()
     assert [tuple(r) for r in got] == [("f", 6, 2)]
+
+
+def test_readers_take_any_text():
+    for lang in [*LANGUAGES, "python"]:
+        for text in ("", "\n", "}}}((", "if (", "def f(:", "x = ", "/* open", chr(39) * 3, "for (;;) { a[", "func f(", "class A { int", "a" * 5000, "{" * 300, "é = ü + 1;", "switch (x) { case"):
+            assert read(text, lang) is not None
+    assert read("x", "cobol") is None and read(None, "c").functions == []
+
+
+def test_reader_of_other_languages():
+    java = read("import java.util.List;\nclass A extends B implements C {\n  private int n;\n  @Override\n  public int get(int k) {\n    int m = k;\n    return m;\n  }\n}\n", "java")
+    assert [(f.name, f.line, f.end, f.params, f.owner) for f in java.functions] == [("get", 4, 8, ["k"], "A")] or [(f.name, f.line, f.end, f.params, f.owner) for f in java.functions] == [("get", 5, 8, ["k"], "A")]
+    assert java.imports == [("List", "java.util.List", "List")] and java.types[0].bases == ["B", "C"]
+    rust = read("use std::fs;\nfn f(a: i32, b: &str) -> i32 {\n    let c = a;\n    match c {\n        1 => g(b),\n        _ => h(c),\n    }\n}\n", "rust")
+    assert [(f.name, f.params) for f in rust.functions] == [("f", ["a", "b"])]
+    assert [(s.kind, s.line, [b.line for b in s.blocks]) for s in rust.functions[0].body] == [("assign", 3, []), ("match", 4, [5, 6])]
+    ts = read("export async function f(a: string, b?: number): Promise<void> {\n  const c: string = a;\n  await g(c);\n}\n", "typescript")
+    assert [(f.name, f.params, f.is_async) for f in ts.functions] == [("f", ["a", "b"], True)] and ts.functions[0].body[0].defs == ["c"]
+
+
+def test_comments_and_strings_are_blank():
+    assert blanked("a = 'x # y' # z\n", ("#",), None, "'\"") == ["a = '     '    ", ""]
+    assert blanked('f("/*") /* g(\n */ h()', ("//",), ("/*", "*/"), '"') == ['f("  ")      ', "    h()"]
+
+
+def test_python_control_flow(spark):
+    text = "def f(a):\n    for x in a:\n        if x:\n            break\n    else:\n        g()\n    try:\n        h()\n    except E:\n        raise\n    finally:\n        k()\n    return 1\n"
+    c = Code(facts(spark.createDataFrame([("f.py", "python", text)], "file string, lang string, source string")))
+    got = {(r["from_line"], r["to_line"]) for r in control.control_flow(c.statements, c.blocks).collect()}
+    assert {(2, 3), (3, 4), (2, 6), (2, 7), (7, 8), (7, 9), (7, 12), (9, 12), (12, 13)} <= got
+    assert not {(4, 6), (10, 12)} & got
+
+
+def test_guards_of_structured_sinks(spark):
+    calls = [
+        ("a.py", "f", 1, 2, "execute", "cur", ['"select %s"', "x"]), ("a.py", "f", 1, 3, "execute", "cur", ['"select " + x']), ("a.py", "f", 1, 4, "load", "yaml", ["x", "Loader=SafeLoader"]), ("a.py", "f", 1, 5, "load", "yaml", ["x"]),
+        ("b.go", "f", 1, 6, "Command", "exec", ['"ls"', '"-l"', "x"]), ("b.go", "f", 1, 7, "Command", "exec", ['"sh"', '"-c"', "x"]), ("c.js", "f", 1, 8, "spawn", "cp", ["x", "[]"]), ("c.js", "f", 1, 9, "spawn", "cp", ["x", "{ shell: true }"]), ("a.py", "f", 1, 10, "get", "requests", ['"x"']),
+    ]
+    df = spark.createDataFrame(calls, "file string, function string, fn_line int, line int, callee string, qualifier string, args array<string>")
+    langs = spark.createDataFrame([("a.py", "python"), ("b.go", "go"), ("c.js", "javascript")], "file string, lang string")
+    tainted = df.select("file", "line", F.lit("x").alias("base"))
+    assert sorted(r["line"] for r in taint.structured_sinks(df, langs, tainted).collect()) == [3, 5, 7, 9]
+
+
+def test_absence_on_error_paths(spark):
+    text = "int f(int n) {\n    char *p = malloc(n);\n    int k = 0;\n    k = g(p);\n    if (k)\n        goto fail;\n    return 0;\nfail:\n    free(p);\n    return 1;\n}\nint h(int n) {\n    char *q = kmalloc(n);\n    kfree(q);\n    kfree(q);\n    return 0;\n}\n"
+    c = Code(facts(spark.createDataFrame([("f.c", "c", text)], "file string, lang string, source string")))
+    gotos = c.statements.where("kind = 'goto'").select("file", "function", "line", F.col("text").alias("label"))
+    found = patterns.absence(c.statements.select("file", "line"), c.functions, c.calls, c.lines, c.labels, gotos)
+    got = {(r["function"], r["line"], r["category"]) for r in found.where("description like '%allocation without free'").collect()}
+    assert {("f", 2, "close_only_on_error_path"), ("h", 13, "double_close")} <= got and not any(x[2] == "missing_counterpart" for x in got)
+
+
+def test_interfaces_are_met_by_all_their_methods(spark):
+    text = "package m\ntype R interface {\n\tRead(p int) int\n\tClose() int\n}\ntype A struct {\n\tn int\n}\nfunc (a *A) Read(p int) int {\n\treturn p\n}\nfunc (a *A) Close() int {\n\treturn 0\n}\ntype B struct {\n\tn int\n}\nfunc (b *B) Read(p int) int {\n\treturn p\n}\n"
+    c = Code(facts(spark.createDataFrame([("m.go", "go", text)], "file string, lang string, source string")))
+    assert [tuple(r) for r in calls_.satisfies(c.types, c.fields, c.functions).collect()] == [("R", "A")]
+
+
+def test_peers(spark):
+    f = spark.createDataFrame([("a", "run_x", 2, 4, "@app.get('/x')", None), ("a", "run_y", 6, 30, "@app.get('/y')", "K"), ("b", "other", 1, 2, None, None)], "file string, name string, start_line int, end_line int, decorator string, owner string")
+    names = lambda changed, p: {r["name"] for r in patterns.peers(f.where(changed).select("file", "name", "start_line"), f, p).collect()}
+    assert names("name = 'run_x'", "auto") == {"run_x", "run_y"} and names("name = 'other'", "auto") == {"run_x", "run_y", "other"}
+    assert names("name = 'other'", "name:run*") == {"run_x", "run_y", "other"} and names("name = 'other'", "class:K") == {"run_y", "other"}
+    assert {r["line"] for r in patterns.peers(f.where("name = 'run_y'").select("file", "name", "start_line"), f, "class:K").collect()} == {*range(6, 17), 30}
+
+
+def test_scan_reads_files_below_a_folder(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1\n")
+    (tmp_path / "src" / "b.txt").write_text("no")
+    (tmp_path / "c.go").write_text("package c\n")
+    assert {r["file"] for r in scan(spark, str(tmp_path)).collect()} == {"src/a.py", "c.go"}
+    assert {r["file"] for r in scan(spark, str(tmp_path), spark.createDataFrame([("c.go",)], "file string")).collect()} == {"c.go"}
+
+
+def test_ranges_of_origins(spark):
+    cases = {"x = transform(y)": "Unknown", "x = form(y)": "UserInput", 'x = "a"': "Constant", "cursor.execute(q)": "Database", "prefetch(y)": "Unknown", "k = os.environ[n]": "EnvVar", "cfg.load()": "Config"}
+    df = spark.createDataFrame([(c,) for c in cases], "text string")
+    assert {r["text"]: r["origin"] for r in patterns.classify(df).collect()} == cases
+
+
+def test_return_classes(spark):
+    cases = {"": "Void", "None": "Null", "true": "Bool", "x, nil": "GoSuccess", "nil, err": "GoError", "0x1F": "Numeric", "f'a'": "StringLit", "[]": "EmptyCollection", "new A()": "ConstructedValue", "Foo(1)": "ConstructedValue", "a + b": "Expression"}
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    assert {r["v"]: r["c"] for r in df.select("v", patterns.return_class(F.col("v"), F.lit(True)).alias("c")).collect()} == cases
