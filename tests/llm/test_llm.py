@@ -60,6 +60,15 @@ def test_html():
     assert htmltext.best_region(scores) == (-best[1], best[2])
 
 
+def test_html_region_decides_without_landmarks(monkeypatch):
+    links = "".join(f'<li><a href="/x{i}">Menu item {i}</a></li>' for i in range(12))
+    page = f"<html><body><div><ul>{links}</ul></div><div><h1>Title here</h1><p>One long paragraph with many words that tell a story and go on for a while.</p><p>Another paragraph, also with a good number of words in it, to be kept.</p></div><div><ul>{links}</ul></div></body></html>"
+    text = "Title here\nOne long paragraph with many words that tell a story and go on for a while.\nAnother paragraph, also with a good number of words in it, to be kept."
+    assert htmltext.main_text(page) == text
+    monkeypatch.setattr(htmltext, "best_region", lambda scores: (0, len(scores)))
+    assert "Menu item 3" in htmltext.main_text(page)
+
+
 def test_html_edge_table(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x y</p>"), (1, "v", "")], "page_id long, url string, html string")
     assert sorted(map(str, htmltext.extract(df).collect())) == sorted(map(str, [r for r in df.selectExpr("page_id", "url", "if(html like '%x y%', 'x y', '') as text", "cast(if(html like '%x y%', 3, 0) as long) as n_chars").collect()]))
