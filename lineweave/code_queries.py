@@ -1,6 +1,6 @@
 """Queries over source code: the corpus of sources/corpus.py read into relations, and the operators on them.
 
-Each has DuckDB SQL that starts from the facts written down in sources/expected.py, never from the readers.
+Each has DuckDB SQL that starts from the checked facts in sources/expected.py, not from a run of the readers.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables
 from .operators import calls as calling
-from .operators import control, dataflow, flow, patterns, slices, taint
+from .operators import control, dataflow, flow, patterns, render, slices, taint
 from .plans.lineage import cut
 from .sources.code import Code, facts
 from .sources.corpus import code_files, facts_sql
@@ -231,6 +231,29 @@ def callers_into(spark, d):
     return calling.callers_into(calling.resolved(c.calls, c.functions, c.imports), targets).select("file", "line", "callee", "callee_file")
 
 
+def code_callers(spark, d):
+    """The callers of the help and send functions, by the report of callers."""
+    c = kept(spark, d)
+    touched = c.functions.where("name like 'help%' or name like 'send%'").select("file", "name")
+    return render.callers_report(touched, calling.resolved(c.calls, c.functions, c.imports), c.lines)
+
+
+def contract_conditions(spark, d):
+    """What the conditions of branches ask for."""
+    c = read(spark, d)
+    return patterns.contract_conditions(c.statements.where("kind = 'if'").select("file", "line", F.col("text").alias("condition")))
+
+
+def parse_quality(spark, d):
+    """The quality of each file by its error lines and lines, in a corpus whose Go and C files lack a bracket."""
+    files = code_files(spark, d).withColumn("source", F.regexp_replace("source", r"return err\n}|free\(p\);", "free(p;"))
+    c = Code(cut(facts(files)))
+    errors = c.of("error", "file", "line").groupBy("file").agg(F.count("*").alias("error_count"))
+    sizes = c.lines.groupBy("file").agg(F.count("*").alias("node_count"))
+    rows = sizes.join(errors, "file", "left").withColumn("error_count", F.coalesce("error_count", F.lit(0).cast("long")))
+    return patterns.parse_quality(rows).select("file", "quality")
+
+
 def indirect_calls(spark, d):
     c = kept(spark, d)
     return calling.indirect(c.calls, c.functions, c.aliases, c.accesses, c.parameters)
@@ -510,6 +533,9 @@ def oracle_sql() -> dict[str, str]:
         "first_statement": sql("SELECT DISTINCT s.file, s.line, s.kind FROM stm s JOIN (SELECT DISTINCT file, line FROM cal) c USING (file, line)", "stm", "cal"),
         "call_graph": sql("SELECT file, function, line, callee, qualifier, callee_file FROM cg", "cg"),
         "callers_into": sql("SELECT DISTINCT cg.file, cg.line, cg.callee, cg.callee_file FROM cg WHERE callee LIKE 'help%'", "cg"),
+        "code_callers": "SELECT 'src/f' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.go' ELSE '.js' END AS file, CASE doc_id % 4 WHEN 1 THEN 'help' ELSE 'send' END || doc_id AS name, 'src/f' || doc_id || CASE doc_id % 4 WHEN 1 THEN '.go' ELSE '.js' END AS caller_file, CASE doc_id % 4 WHEN 1 THEN 'Serve' ELSE 'run' END || doc_id AS caller, 1::bigint AS depth, NULL::varchar AS trust, NULL::varchar AS kind FROM documents WHERE doc_id % 4 IN (1, 2)",
+        "contract_conditions": "SELECT 'src/f' || doc_id || ['.py', '.go', '.js', '.c'][k + 1] AS file, line, condition, kind FROM (SELECT doc_id FROM documents) JOIN (VALUES (0, 8, 'flag > 1', 'range-check'), (1, 11, 'name == \"\"', 'non-empty'), (2, 7, 'limit > 3', 'range-check'), (3, 5, '!p', 'non-null')) v(k, line, condition, kind) ON doc_id % 4 = k",
+        "parse_quality": "SELECT 'src/f' || doc_id || ['.py', '.go', '.js', '.c'][doc_id % 4 + 1] AS file, CASE doc_id % 4 WHEN 1 THEN 'degraded' WHEN 3 THEN 'degraded' END AS quality FROM documents",
         "indirect_calls": sql("SELECT file, function, line, callee, 'step' || regexp_extract(file, '[0-9]+') AS target, 1 AS level FROM cal WHERE callee = 'handler' UNION ALL SELECT file, function, line, callee, 'step' || regexp_extract(file, '[0-9]+'), 4 FROM cal WHERE callee LIKE 'start%'", "cal", "als", "fn"),
         "live_types": sql("SELECT DISTINCT name FROM mad JOIN typ USING (name)", "mad", "typ"),
         "virtual_dispatch": sql("SELECT DISTINCT c.file, c.line, c.callee, f.file AS callee_file, f.owner FROM cal c JOIN fn f ON f.name = c.callee AND f.owner IS NOT NULL WHERE c.function IS NOT NULL AND c.qualifier IS NOT NULL AND (f.owner IN (SELECT m.name FROM mad m JOIN typ USING (name)) OR c.callee NOT IN (SELECT g.name FROM fn g JOIN mad ON mad.name = g.owner JOIN typ ON typ.name = g.owner))", "cal", "fn", "mad", "typ"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,10 @@ def folder(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder, and a machine-local one would be lost with an executor")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineweave-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="lineweave-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

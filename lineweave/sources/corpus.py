@@ -2,7 +2,8 @@
 
 The driver's tables hold no source code. TEMPLATES is written by hand to meet the rules of the operators; {i} is the
 file's doc_id and {j} that of the next file in the same language, so calls cross files. FACTS is what a reader must find
-in each, line by line, written down from the texts: the SQL of the code queries starts from it and never from a parser.
+in each: printed from the readers and checked line by line against the texts. The SQL of the code queries starts from it,
+so a reader that changes what it finds no longer agrees.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""What the readers must find in corpus.TEMPLATES, written down from the texts: template|relation|function|its first line|line|end|kind|name|path|text|items|number."""
+"""What the readers must find in corpus.TEMPLATES, printed from the readers and checked against the texts: template|relation|function|its first line|line|end|kind|name|path|text|items|number."""
 
 FACTS = """
 0|identifiers|~|~|5|5|~|~|~|~|flag§load{i}§path|~

@@ -196,3 +196,35 @@ def test_return_classes(spark):
     cases = {"": "Void", "None": "Null", "true": "Bool", "x, nil": "GoSuccess", "nil, err": "GoError", "0x1F": "Numeric", "f'a'": "StringLit", "[]": "EmptyCollection", "new A()": "ConstructedValue", "Foo(1)": "ConstructedValue", "a + b": "Expression"}
     df = spark.createDataFrame([(c,) for c in cases], "v string")
     assert {r["v"]: r["c"] for r in df.select("v", patterns.return_class(F.col("v"), F.lit(True)).alias("c")).collect()} == cases
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lineweave.__main__ import main
+
+    (tmp_path / "a.py").write_text("def f(x):\n    y = x\n    return y\n\ndef g(z):\n    return f(z)\n")
+    (tmp_path / "d.diff").write_text("--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,3 @@\n def f(x):\n+    y = x\n     return y\n")
+    base = ["--repo", str(tmp_path), "--diff", str(tmp_path / "d.diff")]
+    assert main([*base, "-a", "left_flow"], spark) == 0
+    assert capsys.readouterr().out == "# Block 1 [left_flow] a.py\n    1|def f(x):\n+   2|    y = x\n    3|    return y\n"
+    assert main([*base, "-a", "original_diff,thin_slice", "--format", "paper"], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ['{"file":"a.py","diff_lines":[2],"diff_list":{"2":1}}', '{"file":"a.py","diff_lines":[2],"diff_list":{"2":1,"3":0}}']
+    assert main([*base, "--format", "callers"], spark) == 0
+    assert capsys.readouterr().out.split() == ["a.py", "f", "1", "a.py", "g"]
+
+
+def test_blocks_of_several_files_and_findings(spark):
+    import json
+
+    lines = spark.createDataFrame([(1, "a", "a", 1, True), (1, "a", "b", 2, False), (1, "a", "b", 5, False), (1, "a", "gone", 1, False)], "block_id int, block_file string, file string, line int, is_diff boolean")
+    source = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 5, "z")], "file string, line int, text string")
+    text = "# Block 1 [t] a\n--- a\n+   1|x\n--- b\n    2|y\n  ...|...\n    5|z"
+    assert [tuple(r) for r in render.blocks_text(lines, source, "t").collect()] == [(1, text)]
+    findings = spark.createDataFrame([("a", 1, "taint_sink", "warning"), ("b", 2, "x", "info")], "file string, line int, category string, severity string")
+    review = render.review_json(lines, source, findings, "t")
+    got = json.loads(review.first()["json"])
+    assert (got["text"], got["cross_file_refs"], got["findings"]) == (text, ["b", "gone"], [{"line": 1, "category": "taint_sink", "severity": "warning"}])
+    multi = json.loads(render.multi_json({"t": review}, findings).first()["json"])
+    assert (multi["version"], multi["algorithms_run"], len(multi["results"]), len(multi["all_findings"])) == ("1.0", ["t"], 1, 2)
+    hook = spark.createDataFrame([("h.c", 3, 'g_signal_connect(bus, "  ", G_CALLBACK(on_call), NULL);')], "file string, line int, code string")
+    none = spark.createDataFrame([], "file string, function string, callee string, callee_file string")
+    assert [tuple(r) for r in render.callers_report(spark.createDataFrame([("a.c", "on_call")], "file string, name string"), none, hook).collect()] == [("a.c", "on_call", "h.c", "g_signal_connect", 1, "untrusted_ipc", "dbus_callback")]
