@@ -138,12 +138,12 @@ def code_data_flow(spark, d):
 
 
 def control_flow(spark, d):
-    c = kept(spark, d)
-    return control.control_flow(c.statements, c.blocks).select("file", "function", "from_line", "to_line", "rule").distinct()
+    return _control(kept(spark, d)).select("file", "function", "from_line", "to_line", "rule").distinct()
 
 
 def _control(c):
-    return cut(control.control_flow(c.statements, c.blocks))
+    # every rule reads the two relations again: they are written once
+    return cut(control.control_flow(cut(c.statements), cut(c.blocks)))
 
 
 def control_successors(spark, d):

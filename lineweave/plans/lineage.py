@@ -15,7 +15,7 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no folder, and a machine-local one would be lost with an executor")
         if named is None:
             named = tempfile.mkdtemp(prefix="lineweave-")
