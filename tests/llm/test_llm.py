@@ -97,6 +97,38 @@ def test_ppm_against_counting(documents):
         assert r["score"] < 0
 
 
+def test_ppm_holds_every_string_of_the_training_texts(spark, documents, monkeypatch):
+    """PPMC with full exclusion by dictionaries of counts; few scores are broadcast, the others come from their buckets."""
+    texts = ["aabab", "", None, "Zürich zzz\0z", "x" * 5000] + [r["text"] for r in documents.orderBy("doc_id").limit(25).collect()]
+    symbols = [bytes(ppm.ORDER) + (t or "").encode().lower() + b"\0" for t in texts]
+    seen: dict[bytes, Counter] = {}
+    for i, s in enumerate(symbols):
+        if zlib.crc32(str(i).encode()) % 10:
+            for at in range(ppm.ORDER, len(s)):
+                for order in range(ppm.ORDER + 1):
+                    seen.setdefault(s[at - order : at], Counter())[s[at]] += 1
+
+    def gain(context, symbol):
+        out, excluded = 0.0, set()
+        for order in range(ppm.ORDER, -1, -1):
+            found = seen.get(context[ppm.ORDER - order :])
+            if found:
+                left = {k: n for k, n in found.items() if k not in excluded}
+                if symbol in left:
+                    return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+                if left:
+                    out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                excluded = set(found)
+        return out - math.log10(256 - len(excluded))
+
+    want = [sum(gain(s[at - ppm.ORDER : at], s[at]) for at in range(ppm.ORDER, len(s))) for s in symbols]
+    monkeypatch.setattr(ppm, "ASKED", 1000)
+    for at_most in (500_000, 300, 0):
+        monkeypatch.setattr(ppm, "TRIE", max(at_most, 1))
+        got = {r["doc_id"]: r["score"] for r in ppm.score(table(spark, texts)).collect()}
+        assert all(math.isclose(got[i], w, rel_tol=1e-9) for i, w in enumerate(want))
+
+
 def test_sentencepieces_are_the_librarys(documents):
     sp = sentencepieces.processor(open(sentencepieces.default_model(), "rb").read())
     encoded = sentencepieces.encode(documents).collect()
