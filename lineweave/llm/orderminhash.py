@@ -36,8 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: in a sketch with probability about J**3: of pairs with J of 0.8, 0.6, 0.5 and 0.4 all, all, 99.5 % and 93 % meet.
 TAKEN, SKETCHES, ROWS = 3, 40, 1
 #: Members of a block of a bucket, classes of words that are counted, the count that stands for all greater ones, pairs
-#: that are compared at once, tasks that a leader's pairs are dealt over, bytes of texts that are sent at once.
-BLOCK, BINS, MANY, AT_ONCE, SALTS, SENT = 4096, 128, 255, 1 << 20, 256, 4 << 20
+#: that are compared at once, tasks that a leader's pairs are dealt over, bytes of texts that are sent at once, rows of
+#: numbers in an Arrow batch.
+BLOCK, BINS, MANY, AT_ONCE, SALTS, SENT, NUMBERS = 4096, 128, 255, 1 << 20, 256, 4 << 20, 1 << 16
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -215,6 +216,57 @@ def packed(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, pack binary")
 
 
+def texts_of(ids: DataFrame, packs: DataFrame) -> DataFrame:
+    """(id, pack): the distinct rows of packs (id, pack) whose id is among ids, a column that may hold copies.
+
+    One shuffle and one sort; nothing but the last row is held.
+    """
+    asked = ids.toDF("id").select("id", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("binary").alias("pack"))
+    rows = asked.unionByName(packs.select("id", F.lit(1).cast("byte").alias("kind"), "pack"))
+
+    def run(batches):
+        now, last = None, None
+        for batch in batches:
+            found, texts = [], []
+            for id_, kind, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    now, last = id_, None
+                elif id_ == now and pack != last:
+                    last = pack
+                    found.append(id_)
+                    texts.append(pack)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.binary())], names=["id", "pack"])
+
+    return rows.repartition("id").sortWithinPartitions("id", "kind", "pack").mapInArrow(run, "id long, pack binary")
+
+
+def met_in(members: DataFrame) -> DataFrame:
+    """(rep, words, bucket, leader, leader_words): the members (rep, words, bucket) of buckets of two or more, with the least one.
+
+    Nearly all buckets have one member, so an aggregate would hold about every row. Here members are shuffled and sorted
+    once, and a bucket is streamed, whatever its size: nothing but its first row is held.
+    """
+
+    def run(batches):
+        held, sent = None, False  # the first row of the bucket that is open, and whether it went out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if held is not None:
+                rows = np.concatenate([held, rows], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], rows[2, 1:] != rows[2, :-1]]))
+            size = np.diff(starts, append=rows.shape[1])
+            out = np.repeat(size > 1, size)
+            out[0] &= not sent
+            first = np.repeat(starts, size)[out]
+            held, sent = rows[:, starts[-1] : starts[-1] + 1], bool(size[-1] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:, out], rows[0, first], rows[1, first])], names=["rep", "words", "bucket", "leader", "leader_words"])
+
+    rows = members.select("rep", "words", "bucket").repartition("bucket").sortWithinPartitions("bucket", "rep", "words")
+    return rows.mapInArrow(run, "rep long, words long, bucket long, leader long, leader_words long")
+
+
 class Leader:
     """One text that many others are compared with."""
 
@@ -413,11 +465,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     known = rows.where("doc_id is not null and words > 0")
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min("words").alias("words"), F.min("bag").alias("bag")))
     members = classes.select("rep", "words", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min_by("words", "rep").alias("leader_words"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = cut(members.join(buckets, "bucket"))
-    wanted = met.select(F.col("rep").alias("id")).distinct()
-    packs = cut(packed(documents).join(wanted, "id", "left_semi").distinct())
+    small_batches(documents.sparkSession, NUMBERS)
+    met = cut(met_in(members))
     small_batches(documents.sparkSession)
+    packs = cut(texts_of(met.select("rep"), packed(documents)))
     pairs = met.where("leader <> rep").where(fits("words", "leader_words")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = cut(verified(pairs, packs))
     parts = cut(components(first))

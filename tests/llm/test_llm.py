@@ -295,6 +295,28 @@ def test_near_duplicates_in_a_bucket_that_outlasts_the_stars(spark):
     assert {(r["doc_id"], r["component_id"]) for r in orderminhash.near_duplicates(df).collect()} == {(i, i % 100) for i, _ in rows}
 
 
+def test_buckets_and_texts_are_streamed(spark):
+    """Buckets and packed texts come from one shuffle and one sort, with no table of all rows, and right across Arrow batches."""
+    rng = random.Random(12)
+    members = [(rep, 5 + rep % 7, bucket) for rep, bucket in {(rng.randrange(300), int(rng.random() ** 3 * 150)) for _ in range(500)}]
+    by = {}
+    for rep, words, bucket in members:
+        by.setdefault(bucket, []).append((rep, words))
+    packs = [(i, b"%d" % (i + k)) for i in range(60) for k in (0, 0, i % 3)] + [(99, b"x")]
+    ids = [(rng.randrange(80),) for _ in range(100)]
+    plain = spark.createDataFrame(members, "rep long, words long, bucket long"), spark.createDataFrame(ids, "rep long"), spark.createDataFrame(packs, "id long, pack binary")
+    for size in (1, 3, 10_000):
+        orderminhash.small_batches(spark, size)
+        met, texts = orderminhash.met_in(plain[0]), orderminhash.texts_of(plain[1], plain[2])
+        for df in (met, texts):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Aggregate" not in plan and "Join" not in plan
+            assert plan.count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, met.collect())) == sorted((rep, words, bucket, *min(by[bucket])) for rep, words, bucket in members if len(by[bucket]) > 1)
+        assert sorted((r["id"], bytes(r["pack"])) for r in texts.collect()) == sorted({p for p in packs if (p[0],) in ids})
+    orderminhash.small_batches(spark)
+
+
 def linked(texts):
     """The least index that each text is linked to, directly or by way of others, all pairs that meet in a sketch compared."""
     data = [t.encode() for t in texts]
