@@ -1,6 +1,7 @@
 """Small cases of operators whose edge semantics the tables do not reach."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import paths
 from lineweave.operators import calls as calls_
 from lineweave.operators import control, flow, graph, patterns, render, rules, slices, taint
+from lineweave.plans.lineage import cut
 from lineweave.sources import diffs
 from lineweave.sources.code import Code, facts, rows_of, scan
 from lineweave.sources.syntax import LANGUAGES, blanked, read
@@ -245,3 +247,23 @@ def test_facts_of_many_files_leave_in_small_batches():
     assert sum(b.num_rows for b in out) == 898 * len(one) > 10_000
     assert max(b.num_rows for b in out) <= 10_000
     assert [tuple(r.values()) for r in out[0].slice(0, len(one)).to_pylist()] == one
+
+
+def test_walks_from_more_origins_than_a_word_has_bits(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = {(rng.randrange(90), rng.randrange(90)) for _ in range(400)}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long").repartition(3)
+    reach = {n: closure(edges, n) for n in range(90)}
+    starts = spark.createDataFrame([(n, n) for n in range(80)], "origin long, node long").repartition(5)
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda x: written.append(cut(x)) or written[-1])
+    got = [tuple(r) for r in graph.reachable(df, starts).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(n, m) for n in range(80) for m in reach[n] if m != n}
+    # a round writes a row for 64 origins at most, not one for each that reaches a node
+    assert sum(x.count() for x in written if "hop" in x.columns) * 4 < len(got)
+    pairs = spark.createDataFrame([(n, m) for n in range(0, 80, 7) for m in range(90)] * 2, "src long, dst long")
+    want = {(n, m) for n in range(0, 80, 7) for m in range(90) if m == n or m in reach[n]}
+    assert sorted(tuple(r) for r in graph.has_path(df, pairs).collect()) == sorted(want)
+    few = spark.createDataFrame([(n,) for n in range(0, 80, 7)], "node long")
+    got = graph.paths_between(df, few, spark.range(30, 60).withColumnRenamed("id", "node"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, m) for n, m in want if 30 <= m < 60)
