@@ -267,3 +267,22 @@ def test_walks_from_more_origins_than_a_word_has_bits(spark, monkeypatch):
     few = spark.createDataFrame([(n,) for n in range(0, 80, 7)], "node long")
     got = graph.paths_between(df, few, spark.range(30, 60).withColumnRenamed("id", "node"))
     assert sorted(tuple(r) for r in got.collect()) == sorted((n, m) for n, m in want if 30 <= m < 60)
+
+
+def test_vertical_places(spark):
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(90), rng.randrange(90)) for _ in range(150)})
+
+    def hops(pairs, start, most):
+        found, last = {start: 0}, {start}
+        for h in range(1, most + 1):
+            last = {b for a, b in pairs if a in last} - found.keys()
+            found |= dict.fromkeys(last, h)
+        return found
+
+    want = set()
+    for t in range(70):
+        up, down = hops([(b, a) for a, b in edges], t, 3), hops(edges, t, 3)
+        want |= {(t, n, -up[n] if n in up else down[n]) for n in up.keys() | down.keys()}
+    got = flow.vertical(spark.createDataFrame(edges, "src long, dst long"), spark.range(70).withColumnRenamed("id", "node"), 3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
