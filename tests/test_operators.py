@@ -286,3 +286,39 @@ def test_vertical_places(spark):
         want |= {(t, n, -up[n] if n in up else down[n]) for n in up.keys() | down.keys()}
     got = flow.vertical(spark.createDataFrame(edges, "src long, dst long"), spark.range(70).withColumnRenamed("id", "node"), 3)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_callees_of_every_rank(spark):
+    rng = random.Random(3)
+    files = [f"p{k % 3}/m{k % 7}_{k}.py" if k % 2 else f"q{k}/m{k % 7}.py" for k in range(40)]
+    functions = [(rng.choice(files), f"n{rng.randrange(4)}", rng.random() < 0.4) for _ in range(70)]
+    imports = [(rng.choice(files), f"a{rng.randrange(3)}", f"x/m{rng.randrange(7)}.z") for _ in range(60)]
+    sites = [(rng.choice(files), rng.randrange(9), f"n{rng.randrange(5)}", f"a{rng.randrange(4)}") for _ in range(120)]
+    static = {}
+    for f, n, s in functions:
+        static[n, f] = static.get((n, f), False) or s
+    want, start = set(), lambda p: p.split("/")[-1].split(".")[0]
+    for f, line, n, q in sites:
+        modules = {start(m) for g, a, m in imports if (g, a) == (f, q)}
+        rank = {g: 0 if s and g == f else 1 if start(g) in modules else 2 for (m, g), s in static.items() if m == n and (s and g == f or start(g) in modules or not s)}
+        want |= {(f, line, n, q, g) for g, r in rank.items() if r == min(rank.values())}
+    frames = spark.createDataFrame(sites, "file string, line int, callee string, qualifier string"), spark.createDataFrame(functions, "file string, name string, is_static boolean"), spark.createDataFrame(imports, "file string, alias string, module string")
+    assert sorted(tuple(r) for r in flow.resolve_callees(*frames).collect()) == sorted(want)
+
+
+def test_candidates_are_not_dealt_out_again(spark):
+    """All sites call one name that all files have: no shuffle may write a row for each candidate."""
+    functions = spark.range(300).selectExpr("concat('f', id, '.py') as file", "'n' as name", "false as is_static")
+    sites = spark.range(200).selectExpr("concat('s', id, '.py') as file", "id as line", "'n' as callee", "'' as qualifier")
+    found = flow.resolve_callees(sites, functions, spark.createDataFrame([], "file string, alias string, module string"))
+    assert found.count() == found.distinct().count() == 60_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    deep = lambda line: re.search("[A-Z]", line).start()
+    made = [k for k, line in enumerate(plan) if "Generate explode(files" in line]
+    assert made
+    for k in made:
+        depth = deep(plan[k])
+        for line in reversed(plan[:k]):
+            if line.strip() and deep(line) < depth:
+                depth = deep(line)
+                assert not any(w in line for w in ("Window", "Aggregate", "Join", "Sort"))
