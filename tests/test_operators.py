@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lineweave import queries
 from lineweave.functions import paths
 from lineweave.operators import calls as calls_
 from lineweave.operators import control, flow, graph, patterns, render, rules, slices, taint
@@ -322,3 +323,15 @@ def test_candidates_are_not_dealt_out_again(spark):
             if line.strip() and deep(line) < depth:
                 depth = deep(line)
                 assert not any(w in line for w in ("Window", "Aggregate", "Join", "Sort"))
+
+
+def test_counterparts_meet_by_name(spark):
+    """Every file has both names of a pair: names meet names, so no row for each pair of files is made."""
+    functions = spark.range(200).selectExpr("concat('f', id) as file", "explode(array('Open_1', 'close_1', 'OPEN_1', 'alone')) as name")
+    changed = functions.where("name in ('Open_1', 'alone') or (name = 'close_1' and file < 'f2')")
+    found = patterns.symmetry(functions, changed)
+    want = {(r["file"], r["name"], r["counterpart"]) for r in found.collect()}
+    rows = [tuple(r) for r in patterns.counterparts(functions, changed).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and {r[1:] for r in rows} == {("Open_1", "close_1"), ("close_1", "OPEN_1")}
+    asked = set(queries.symmetry_slice(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split())
+    assert not any("counterpart_file" in w for w in asked)
